@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, simhash
+from tessera.llm import decontam, mixing, simhash, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, parts = mixing.mix(_read(spark, sf_dir, "documents"))
+    return parts.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup_substrings(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 SQL_OP7 = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -45,5 +56,5 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("lower(translate(", "(translate(")
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_decontamination": op7_decontamination}
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op7_decontamination": op7_decontamination, "op9_suffix_array": op9_suffix_array}
 ORACLE = {"op7_decontamination": SQL_OP7}
