@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, mixing, simhash, suffix
+from tessera.llm import decontam, mixing, quality, simhash, suffix, toxicity
+from tessera.llm.common import crc_fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +17,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def _predicted(found: DataFrame, threshold: float) -> DataFrame:
+    return found.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, _read(spark, sf_dir, "labels"))
+    return _predicted(toxicity.score(documents, model), 0.5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), 0.3)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -56,5 +71,5 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("lower(translate(", "(translate(")
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op7_decontamination": op7_decontamination, "op9_suffix_array": op9_suffix_array}
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op7_decontamination": op7_decontamination, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
 ORACLE = {"op7_decontamination": SQL_OP7}
