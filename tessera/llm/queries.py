@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, mixing, quality, simhash, suffix, toxicity
+from tessera.llm import caps, chat, decontam, mixing, quality, simhash, suffix, toxicity
 from tessera.llm.common import crc_fold
 
 
@@ -37,6 +37,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_read(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, parts = mixing.mix(_read(spark, sf_dir, "documents"))
     return parts.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +56,36 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL_OP2 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95
+), reach AS (
+  WITH RECURSIVE r(node, low) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.low FROM r JOIN pairs p ON p.a = r.node WHERE r.low < p.b
+  ) SELECT node, min(low) AS low FROM r GROUP BY node
+), n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept
+FROM v LEFT JOIN n ON n.a = vec_id JOIN reach ON node = vec_id
+"""
+
+SQL_OP8 = """
+WITH people AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+m AS (
+  SELECT c.conv_id, perspective, turn, coalesce(role = perspective, false) AS mask, coalesce(role = 'system', false) AS fixed, role, coalesce(text, '') AS t, text IS NULL AS untold
+  FROM conversations c JOIN people p ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+), h AS (
+  SELECT *, CASE WHEN mask THEN 'assistant' WHEN fixed THEN role ELSE 'user' END AS chat_role, CASE WHEN NOT mask AND NOT fixed THEN role END AS name FROM m
+), s AS (SELECT *, '<|' || chat_role || coalesce(' name=' || name, '') || '|>' || chr(10) AS head FROM h),
+g AS (SELECT *, head || t || chr(10) || '<|end|>' || chr(10) AS segment FROM s),
+w AS (
+  SELECT *, row_number() OVER o AS seq, (sum(length(segment)) OVER (o ROWS UNBOUNDED PRECEDING) - length(segment) + length(head))::BIGINT AS from_char
+  FROM g WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role NULLS LAST, untold, t)
+)
+SELECT conv_id, perspective, seq, turn, chat_role, name, segment, mask, from_char, (from_char + length(t))::BIGINT AS to_char FROM w
+"""
+
 SQL_OP7 = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -71,5 +109,5 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("lower(translate(", "(translate(")
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op7_decontamination": op7_decontamination, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
-ORACLE = {"op7_decontamination": SQL_OP7}
+QUERIES = {"op1_simhash": op1_simhash, "op2_cap_filters": op2_cap_filters, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op7_decontamination": op7_decontamination, "op8_perspectives": op8_perspectives, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
+ORACLE = {"op2_cap_filters": SQL_OP2, "op8_perspectives": SQL_OP8, "op7_decontamination": SQL_OP7}
