@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import caps, chat, decontam, mixing, quality, simhash, suffix, toxicity
+import corpus_pipeline
+from tessera.llm import caps, chat, decontam, html_crf, licenses, mixing, quality, simhash, suffix, toxicity
 from tessera.llm.common import crc_fold
 
 
@@ -31,6 +32,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), 0.3)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no file names; their source, language and id stand for one."""
+    files = _read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return licenses.scan(files, keep=["doc_id", "path"])
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -109,5 +120,5 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("lower(translate(", "(translate(")
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_cap_filters": op2_cap_filters, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op7_decontamination": op7_decontamination, "op8_perspectives": op8_perspectives, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_simhash": op1_simhash, "op2_cap_filters": op2_cap_filters, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_html_extraction": op5_html_extraction, "op6_licenses": op6_licenses, "op7_decontamination": op7_decontamination, "op8_perspectives": op8_perspectives, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
 ORACLE = {"op2_cap_filters": SQL_OP2, "op8_perspectives": SQL_OP8, "op7_decontamination": SQL_OP7}

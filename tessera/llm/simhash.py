@@ -157,8 +157,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(0)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), *batch.columns[1:]], ["fp", *batch.schema.names[1:]])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,23 +182,35 @@ def link_keys(keys: DataFrame, most: int = KEY_ROWS) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id long, fingerprint string, component_id long)`` for every row of ``documents``.
+#: Nodes of rows without an id; they come after all ids.
+NAMELESS = 1 << 62
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``(doc_id long, fingerprint string, component_id long, kept boolean)`` for every row of ``documents``.
 
     Documents link at three or fewer differing bits; ``component_id`` is the smallest doc_id
-    reachable over links.  Null, empty and blank texts have fingerprint 0 and link like any other.
-    Repeated rows stay repeated.  A null doc_id keeps its row; it gets its component's smallest
-    other id, or null if there is none.  Other columns are ignored; an empty table gives no rows.
+    reachable over links, and ``kept`` marks one row of each component, that of this id.  Null,
+    empty and blank texts have fingerprint 0 and link like any other.  A null doc_id comes after all
+    others; a component without any id has a null ``component_id`` and still one kept row.  Rows
+    that share an id and a fingerprint are repeats, of which at most one is kept.  Columns named in
+    ``keep`` are carried along (a clashing name isn't allowed); others are ignored.  An empty table
+    gives no rows.
 
     Equal fingerprints are one row (by aggregation) before keys are made, and within a key only a
     spanning forest leaves the task, so groups of copies cost rows in proportion to their size.
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "simhash")
-    fps = scratch.table(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keys = distinct.where("rep is not null").repartition("fp").mapInArrow(_keys, "key long, fp long, rep long")
+    carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
+    given = documents.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), *carried)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in given.schema[1:]]
+    fps = scratch.table(given.mapInArrow(_fingerprints, ", ".join(["fp long", *fields])).withColumn("node", F.coalesce("doc_id", F.col("rid") + F.lit(NAMELESS))), "fps")
+    distinct = fps.groupBy("fp").agg(F.min(F.struct("node", "rid")).alias("first")).select("fp", F.col("first.node").alias("rep"), F.col("first.rid").alias("first"))
+    keys = distinct.repartition("fp").mapInArrow(_keys, "key long, fp long, rep long")
     with settings(spark, **TIDY):
         roots = components(spark, link_keys(keys)).withColumnRenamed("node", "rep")
-    known = distinct.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = distinct.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"), F.when(F.coalesce("root", "rep") == F.col("rep"), F.col("first")).alias("first"))
+    found = fps.join(known, "fp")
+    named = F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named, F.coalesce(F.col("first") == F.col("rid"), F.lit(False)).alias("kept"), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep or [])])

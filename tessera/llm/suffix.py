@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -468,6 +469,16 @@ def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     return _finish(done, keep, length)
 
 
+def kept_text(kept: str = "kept"):
+    """Remaining bytes as text; of a character that is only in part removed nothing stays."""
+
+    @F.pandas_udf("string")
+    def decoded(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(F.col(kept))
+
+
 def _finish(done: DataFrame, keep: list[str], length: int) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in done.schema}
     kept = [f"k{i}" for i in range(len(keep))]
