@@ -1,0 +1 @@
+"""Batch retrieval analytics on Spark: the unit of work is a DataFrame of questions."""
