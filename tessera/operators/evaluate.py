@@ -18,7 +18,7 @@ def keyword_hits(questions: DataFrame, docs: DataFrame, ignore_case: bool = Fals
     """(question_id, doc_idx, source, body): documents with any of a question's keywords; blocks of questions against one scan each."""
     rows = iter(questions.select("question_id", "expected_keywords").where("size(expected_keywords) > 0").toLocalIterator())
     found, spark = None, docs.sparkSession
-    frame = docs.select(F.col("page_content"), F.col("doc_idx").cast("long"), F.col("source"), F.coalesce(is_body("page_content"), F.lit(False)))
+    frame = docs.select(F.col("page_content"), F.col("doc_idx").cast("long"), F.col("source"), F.coalesce(is_body("page_content"), F.lit(False)).alias("body"))
     while block := [r for _, r in zip(range(BLOCK), rows, strict=False)]:
         fold = str.lower if ignore_case else str
         shipped = spark.sparkContext.broadcast([(fold(w), r.question_id) for r in block for w in r.expected_keywords if w is not None])

@@ -34,8 +34,9 @@ def explain(questions: DataFrame, docs: DataFrame, k1: float = K1, b: float = B,
     Only postings of the questions' terms are aggregated; document frequencies come from them.
     """
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(question))).alias("term"))
-    words = docs.select("doc_idx", F.size(tokens("page_content")).cast("long").alias("dl"), F.explode(tokens("page_content")).alias("term"))
-    post = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_idx", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = docs.select("doc_idx", F.explode(tokens("page_content")).alias("term"))
+    post = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_idx", "term").agg(F.count("*").alias("tf"))
+    post = post.join(lengths(docs), "doc_idx")
     stats = statistics(docs).first()  # two numbers
     n, avg = float(stats.n_docs), max(float(stats.avgdl), 1e-12)
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

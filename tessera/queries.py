@@ -115,7 +115,13 @@ def corpus_stats(spark, d):
     return store.status(_docs(spark, d))
 
 
-@query("WITH RECURSIVE w(doc_idx, t, at, stop) AS (SELECT doc_id, text, 0, 0 FROM documents WHERE length(text) > 0), step AS (SELECT doc_idx, t, 0 AS n, 0 AS at, -1 AS stop FROM w UNION ALL SELECT doc_idx, t, n + 1, nx, CASE WHEN nx + 1000 < length(t) AND lb > 500 THEN nx + lb ELSE nx + 1000 END FROM (SELECT doc_idx, t, n, nx, length(substr(t, nx + 1, 1000)) - strpos(reverse(substr(t, nx + 1, 1000)), ' ') * CASE WHEN strpos(reverse(substr(t, nx + 1, 1000)), ' ') = 0 THEN 10000 ELSE 1 END AS lb FROM (SELECT doc_idx, t, n, CASE WHEN stop < 0 THEN 0 ELSE stop - 200 END AS nx FROM step) WHERE nx < length(t))) SELECT doc_idx, n::BIGINT AS chunk_no, at::BIGINT AS start_index, md5(substr(t, at + 1, stop - at)) AS digest FROM step WHERE n > 0")
+@query("""WITH RECURSIVE step(doc_idx, n, pos, fin) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, -1::BIGINT FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_idx, n + 1, nx, CASE WHEN nx + 1000 < length(text) AND lb > 500 THEN nx + lb ELSE nx + 1000 END
+  FROM (SELECT doc_idx, n, nx, text, CASE WHEN contains(w, ' ') THEN length(w) - strpos(reverse(w), ' ') ELSE -1 END AS lb
+    FROM (SELECT s.doc_idx, s.n, s.nx, d.text, substr(d.text, s.nx + 1, 1000) AS w FROM (SELECT *, CASE WHEN fin < 0 THEN 0 ELSE fin - 200 END AS nx FROM step) s JOIN documents d ON d.doc_id = s.doc_idx) WHERE nx < length(text)))
+SELECT doc_idx, n AS chunk_no, pos AS start_index, md5(substr(d.text, pos + 1, fin - pos)) AS digest FROM step JOIN documents d ON d.doc_id = doc_idx WHERE n > 0""")
 def fixed_window_chunks(spark, d):
     chunks = split.split(_docs(spark, d).select("doc_idx", "page_content"), split.windows)
     return chunks.select("doc_idx", "chunk_no", "start_index", F.md5(F.col("page_content").cast("binary")).alias("digest"))
