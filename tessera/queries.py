@@ -237,33 +237,38 @@ def ivf_kmeans_recall(spark, d):
 
 
 def _hybrid(spark, d, **c):
-    return retrieve(_asked(spark, d), _docs(spark, d), EngineConfig(**c))
+    return _plain(retrieve(_asked(spark, d), _docs(spark, d), EngineConfig(**c)))
 
 
-@query(f"WITH {HYBRID} SELECT question_id, doc_idx, rank, score, 'rrf' AS score_kind, vector_rank, bm25_rank FROM fur WHERE rank <= 4")
+def _plain(ranked):
+    """Ranks that may be null as doubles, which every client reads alike."""
+    return ranked.withColumns({c: F.col(c).cast("double") for c in ("vector_rank", "bm25_rank")})
+
+
+@query(f"WITH {HYBRID} SELECT question_id, doc_idx, rank, score, 'rrf' AS score_kind, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM fur WHERE rank <= 4")
 def hybrid_topk(spark, d):
     return _hybrid(spark, d)
 
 
-@query(f"WITH {BM25}, {VECTOR}, {_fuse(60, 1, 2)} SELECT question_id, doc_idx, rank, score, 'rrf' AS score_kind, vector_rank, bm25_rank FROM fur WHERE rank <= 4")
+@query(f"WITH {BM25}, {VECTOR}, {_fuse(60, 1, 2)} SELECT question_id, doc_idx, rank, score, 'rrf' AS score_kind, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM fur WHERE rank <= 4")
 def rrf_weighted(spark, d):
     return _hybrid(spark, d, bm25_weight=2.0)
 
 
-@query(f"WITH {HYBRID} SELECT question_id, doc_idx, rank, score, vector_rank, bm25_rank FROM fur")
+@query(f"WITH {HYBRID} SELECT question_id, doc_idx, rank, score, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM fur")
 def hybrid_debug(spark, d):
     asked, docs = _asked(spark, d), _docs(spark, d)
     vector = dense.exact(hash_embed(asked.select("question_id", "question"), "question"), hash_embed(docs.select("doc_idx", "page_content"), "page_content"), 50)
-    return fusion.fuse({"vector": vector, "bm25": sparse.search(asked, docs, 50)}).select("question_id", "doc_idx", "rank", "score", "vector_rank", "bm25_rank")
+    return _plain(fusion.fuse({"vector": vector, "bm25": sparse.search(asked, docs, 50)}).select("question_id", "doc_idx", "rank", "score", "vector_rank", "bm25_rank"))
 
 
-@query(f"WITH {VECTOR} SELECT question_id, doc_idx, rank, score, 'cosine' AS score_kind, rank AS vector_rank, NULL::BIGINT AS bm25_rank FROM ver WHERE rank <= 4")
+@query(f"WITH {VECTOR} SELECT question_id, doc_idx, rank, score, 'cosine' AS score_kind, rank::DOUBLE AS vector_rank, NULL::DOUBLE AS bm25_rank FROM ver WHERE rank <= 4")
 def single_channel(spark, d):
     return _hybrid(spark, d, mode="vector")
 
 
 @query(f"""WITH {HYBRID}, po AS (SELECT f.*, round(len(list_intersect(list_distinct({TOK.format('b.text')}), {TOK.format('d.text')}))::DOUBLE / greatest(len(list_distinct({TOK.format('b.text')})), 1), 4) AS rr FROM fur f JOIN benchmark b ON b.item_id = question_id JOIN documents d ON d.doc_id = doc_idx WHERE rank <= 50)
-SELECT question_id, doc_idx, r AS rank, rr AS score, 'rerank' AS score_kind, vector_rank, bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rr DESC, rank, doc_idx) AS r FROM po) WHERE r <= 4""")
+SELECT question_id, doc_idx, r AS rank, rr AS score, 'rerank' AS score_kind, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rr DESC, rank, doc_idx) AS r FROM po) WHERE r <= 4""")
 def rerank_lexical(spark, d):
     return _hybrid(spark, d, rerank=True)
 
@@ -278,9 +283,9 @@ def _rows(spark, d):
     return evaluate.per_question(evaluate.typed(_asked(spark, d), docs), _hybrid(spark, d), docs)
 
 
-@query(f"WITH {HYBRID}, {KEYED}, {PER} SELECT question_id, type, status, first_hit, coverage, hop AS hop_coverage, source_hit, source_at1, top1_source FROM st2")
+@query(f"WITH {HYBRID}, {KEYED}, {PER} SELECT question_id, type, status, first_hit::DOUBLE AS first_hit, coverage, hop AS hop_coverage, source_hit, source_at1, top1_source FROM st2")
 def retrieval_per_question(spark, d):
-    return _rows(spark, d).drop("missing")
+    return _rows(spark, d).drop("missing").withColumn("first_hit", F.col("first_hit").cast("double"))
 
 
 @query(f"""WITH {HYBRID}, {KEYED}, {PER} SELECT count(*) AS total, count(*) FILTER (v) AS valid, coalesce(avg(coalesce(first_hit = 1, false)::INT) FILTER (v), 0.0) AS hit_at_1, coalesce(avg((first_hit IS NOT NULL)::INT) FILTER (v), 0.0) AS hit_at_k,
