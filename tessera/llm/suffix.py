@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 
 #: Length of a repeated string, length of an anchor, mean length of a chunk, all in bytes.
-LENGTH, GRAM, CHUNK = 50, 24, 128
+LENGTH, GRAM, CHUNK = 50, 20, 128
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Documents with a null id come after all others.
@@ -259,76 +259,72 @@ def _packed(df: DataFrame, name: str) -> DataFrame:
 
 
 def _anchors(length: int, gram: int):
-    """Rows (doc, rid, text, dups) to (key, h, doc, rid, from, to, known): a row for each anchor run.
+    """Rows (rid, text, dups) to (key, rid, run, h): a row for each anchor run, ``run`` its first window and their number (at most 63), packed.
 
-    ``known`` rows have an anchor of which two documents in the same batch hold a run; of each such
-    anchor just one run of two documents goes on under the anchor's own key, so an anchor that a
-    third of the documents share isn't gathered in one task.
+    ``h`` is set for runs whose anchor another row of the same batch holds: those are known to be
+    shared.  Of each such anchor only two rows' runs go on under the anchor's own key (``h`` null), so
+    an anchor that a third of the documents share isn't gathered in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list[np.ndarray]] = []
-            for doc, rid, cell, dup in zip(batch["doc"].to_pylist(), batch["rid"].to_pylist(), batch["text"], batch["dups"], strict=True):
+            for rid, cell, dup in zip(batch["rid"].to_pylist(), batch["text"], batch["dups"], strict=True):
                 data = _bytes(cell)
                 if len(data) < length:
                     continue
-                cover = np.zeros(len(data) + 2, np.int8)
-                runs = _runs(dup)
-                np.add.at(cover, runs[:, 0], 1)
-                np.add.at(cover, runs[:, 1], -1)
-                h, _, first, stop = anchors(data, np.cumsum(cover, dtype=np.int32) > 0, length, gram)
-                parts.append([h.view(np.int64), np.full(len(h), doc), np.full(len(h), rid), first, stop])
+                skip = np.zeros(len(data) + 2, bool)
+                for a, b in _runs(dup).tolist():
+                    skip[a:b] = True
+                h, _, first, stop = anchors(data, skip, length, gram)
+                parts.append([h.view(np.int64), np.full(len(h), rid), first << 6 | stop - first])
             if not parts:
                 continue
-            h, doc, rid, first, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
-            by = np.lexsort((doc, h))
-            h, doc, rid, first, stop = (x[by] for x in (h, doc, rid, first, stop))
-            new = np.concatenate(([True], h[1:] != h[:-1]))
-            other = np.concatenate(([True], (doc[1:] != doc[:-1]) | new[1:]))
+            h, rid, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(h, kind="stable")  # rows of one anchor keep their order, so equal rids are neighbours
+            hs, rs = h[by], rid[by]
+            new = np.concatenate(([True], hs[1:] != hs[:-1]))[: len(hs)]
+            other = (np.concatenate(([True], rs[1:] != rs[:-1]))[: len(hs)]) | new
             start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(h)))
-            n_docs = np.add.reduceat(other, start) if len(start) else start
-            known = np.repeat(n_docs > 1, size)
-            nth = np.cumsum(other) - np.repeat(np.cumsum(other)[start] - 1, size) if len(start) else start
-            sent = known & other & (nth <= 2)
-            key = np.where(known & ~sent, rid * 1_000_003 + first, h)
-            yield _batch(["key", "h", "doc", "rid", "from", "to", "known"], key, h, doc, rid, first.astype(np.int32), stop.astype(np.int32), known & ~sent)
+            nth = np.cumsum(other)
+            nth -= np.repeat(nth[start] - 1, np.diff(np.append(start, len(hs))))  # which row of its anchor, from 1
+            many = np.repeat(np.maximum.reduceat(nth, start) > 1, np.diff(np.append(start, len(hs)))) if len(start) else new
+            known = np.empty(len(h), bool)
+            known[by] = many & ~(other & (nth <= 2))
+            key = np.where(known, rid * 1_000_003 + packed, h)
+            yield _batch(["key", "rid", "run", "h"], key, rid, packed, pa.array(h, pa.int64(), mask=~known))
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, h, doc), those whose anchor two documents hold; one document's rows are held back until then."""
-    last_h, last_doc, shared = None, None, False
+    """From rows sorted by (key, rid) those whose anchor two rows hold; the first row's runs are held back until then."""
+    last, first_rid, shared = None, None, False
     held: list[pa.RecordBatch] = []
-    names = ["rid", "from", "to", "h"]
     for batch in batches:
-        h, doc, known = (batch[c].to_numpy(zero_copy_only=False) for c in ("h", "doc", "known"))
-        n = len(h)
+        n = batch.num_rows
         if not n:
             continue
-        rows = batch.select(names)
-        new = np.concatenate(([last_h is None or h[0] != last_h], h[1:] != h[:-1]))
+        key, rid = batch["key"].to_numpy(), batch["rid"].to_numpy()
+        known = ~batch["h"].is_null().to_numpy(zero_copy_only=False)
+        rows = _batch(["rid", "run", "h"], batch["rid"], batch["run"], batch["h"].fill_null(0) if known.all() else pa.array(np.where(known, batch["h"].fill_null(0).to_numpy(), key)))
+        new = np.concatenate(([last is None or key[0] != last], key[1:] != key[:-1]))
         start = np.flatnonzero(new)
-        # rows that carry on the group of the batch before
         lead = int(start[0]) if len(start) else n
         take = known.copy()
-        if lead:
-            if not shared and (doc[:lead] != last_doc).any():
+        if lead:  # rows that carry on the anchor of the batch before
+            if not shared and (rid[:lead] != first_rid).any():
                 shared = True
                 yield from held
             held = [] if shared else [*held, rows.slice(0, lead)]
             if shared:
                 take[:lead] = True
         if len(start):
-            held = []
             size = np.diff(np.append(start, n))
-            shared_groups = doc[start] != doc[start + size - 1]
-            take[lead:] |= np.repeat(shared_groups, size)
-            last_h, last_doc, shared = h[start[-1]], doc[start[-1]], bool(shared_groups[-1])
-            if not shared:
-                held = [rows.slice(int(start[-1]))]
+            both = rid[start] != rid[start + size - 1]
+            take[lead:] |= np.repeat(both, size)
+            last, first_rid, shared = key[start[-1]], rid[start[-1]], bool(both[-1])
+            held = [] if shared else [rows.slice(int(start[-1]))]
         yield rows.filter(pa.array(take))
 
 
@@ -341,11 +337,12 @@ def _contexts(length: int):
             for doc, rid, cell, want in zip(batch["doc"].to_pylist(), batch["rid"].to_pylist(), batch["text"], batch["wanted"], strict=True):
                 raw = memoryview(_bytes(cell))
                 for w in want.as_py():
+                    first, n = w["run"] >> 6, w["run"] & 63
                     h.append(w["h"])
                     docs.append(doc)
                     rids.append(rid)
-                    at.append(w["from"])
-                    out.append(bytes(raw[w["from"] : w["to"] + length - 1]))
+                    at.append(first)
+                    out.append(bytes(raw[first : first + n + length - 1]))
             yield _batch(["h", "doc", "rid", "at", "bytes"], pa.array(h, pa.int64()), pa.array(docs, pa.int64()), pa.array(rids, pa.int64()), pa.array(at, pa.int32()), pa.array(out, pa.binary()))
 
     return run
@@ -449,14 +446,15 @@ def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     base = scratch.bucketed(base.withColumn("rid", F.monotonically_increasing_id()), "texts", "rid")
     texts = base.select("doc", "rid", "text")
 
-    chunks = texts.mapInArrow(_chunks(length), "h1 long, h2 long, doc long, rid long, from int, to int")
+    chunks = scratch.table(texts.mapInArrow(_chunks(length), "h1 long, h2 long, doc long, rid long, from int, to int"), "chunks")
     earliest = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2", "least")
     dups = scratch.table(_packed(chunks.join(earliest, ["h1", "h2"]).where("doc > least").select("rid", "from", "to"), "dups"), "dups")
+    scratch.drop("chunks")
 
     with_dups = texts.join(dups.hint("shuffle_hash"), "rid", "left")
-    runs = with_dups.select("doc", "rid", "text", "dups").mapInArrow(_anchors(length, gram), "key long, h long, doc long, rid long, from int, to int, known boolean")
-    shared = runs.repartition("key").sortWithinPartitions("key", "h", "doc").mapInArrow(_shared, "rid long, from int, to int, h long")
-    wanted = scratch.table(shared.groupBy("rid").agg(F.collect_list(F.struct("from", "to", "h")).alias("wanted")), "wanted")
+    runs = with_dups.select("rid", "text", "dups").mapInArrow(_anchors(length, gram), "key long, rid long, run long, h long")
+    shared = runs.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_shared, "rid long, run long, h long")
+    wanted = scratch.table(shared.groupBy("rid").agg(F.collect_list(F.struct("run", "h")).alias("wanted")), "wanted")
 
     contexts = texts.join(wanted.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "wanted").mapInArrow(_contexts(length), "h long, doc long, rid long, at int, bytes binary")
     found = contexts.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_sorted_hits(length), "rid long, from int, to int")
