@@ -162,11 +162,22 @@ def suffix_sort(ext: Extensions, starts: np.ndarray, group: np.ndarray) -> np.nd
     return order
 
 
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows at ``a`` and ``b`` hold the same bytes."""
+    out, span = np.empty(len(a), bool), np.arange(length)
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16), None] + span, b[i : i + (1 << 16), None] + span
+        out[i : i + (1 << 16)] = (data[x] == data[y]).all(axis=1)
+    return out
+
+
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows at ``starts`` equal, within their group, a window of a smaller ``doc``.
 
-    The windows must lie in ``data``.  Windows that no other one of their group equals by hash are
-    set aside before sorting; what is left is sorted, and every match is verified on the bytes.
+    The windows must lie in ``data``.  Windows of a group with one hash are a bundle; its smallest
+    document's window stands for those whose bytes are the same (collisions stand for themselves).
+    What stands for more than one document is suffix-sorted, and neighbours that share ``length``
+    bytes, verified on the bytes, are one class.
     """
     out = np.zeros(len(starts), bool)
     if not len(starts):
@@ -174,26 +185,29 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, doc: np.nd
     ext = Extensions(data, length)
     inverse = _powers(1 << max(10, int(len(data)).bit_length()), int(INVERSE))
     h = (ext.prefix[starts + length] - ext.prefix[starts]) * inverse[starts]
-    by = np.lexsort((h, group))
-    same = (h[by][1:] == h[by][:-1]) & (group[by][1:] == group[by][:-1])
-    some = np.zeros(len(starts), bool)
-    some[by[1:][same]] = some[by[:-1][same]] = True
-    some = np.flatnonzero(some)
+    by = np.lexsort((doc, h, group))
+    first = np.flatnonzero(np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (group[by][1:] != group[by][:-1]))))
+    size = np.diff(np.append(first, len(by)))
+    some = doc[by[first + size - 1]] > doc[by[first]]
+    first, size = first[some], size[some]
+    member = by[np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+    stand = np.repeat(by[first], size)
+    apart = ~_equal(data, starts[stand], starts[member], length)
+    stand[apart] = member[apart]
+    some = np.unique(stand)
+    some = some[np.argsort(group[some], kind="stable")]
     if not len(some):
         return out
-    some = some[np.argsort(group[some], kind="stable")]
     order = some[suffix_sort(ext, starts[some], group[some])]
     a, b = order[:-1], order[1:]
     joined = group[a] == group[b]
     joined[joined] = ext.common(starts[a[joined]], starts[b[joined]]) >= length
     check = np.flatnonzero(joined)
-    for i in range(0, len(check), 1 << 16):  # collision verification
-        k = check[i : i + (1 << 16)]
-        span = np.arange(length)
-        joined[k] = (data[starts[a[k]][:, None] + span] == data[starts[b[k]][:, None] + span]).all(axis=1)
+    joined[check] = _equal(data, starts[a[check]], starts[b[check]], length)
     edge = np.concatenate(([0], np.flatnonzero(~joined) + 1))
-    least = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
-    out[order] = doc[order] > least
+    least = np.empty(len(starts), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
+    out[member] = doc[member] > least[stand]
     return out
 
 
