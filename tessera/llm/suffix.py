@@ -34,9 +34,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Documents with a null id come after all others.
 LAST = (1 << 63) - 1
-#: Bytes of a long text that are hashed at once, and bytes of contexts that are sorted at once.
-STRETCH = 1 << 22
-SORT_BYTES = 1 << 23
+#: Bytes of contexts that are sorted at once.
+SORT_BYTES = 1 << 21
 
 
 @lru_cache(8)
@@ -165,9 +164,9 @@ def suffix_sort(ext: Extensions, starts: np.ndarray, group: np.ndarray) -> np.nd
 def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the windows at ``a`` and ``b`` hold the same bytes."""
     out, span = np.empty(len(a), bool), np.arange(length)
-    for i in range(0, len(a), 1 << 16):
-        x, y = a[i : i + (1 << 16), None] + span, b[i : i + (1 << 16), None] + span
-        out[i : i + (1 << 16)] = (data[x] == data[y]).all(axis=1)
+    for i in range(0, len(a), 1 << 14):
+        x, y = a[i : i + (1 << 14), None] + span, b[i : i + (1 << 14), None] + span
+        out[i : i + (1 << 14)] = (data[x] == data[y]).all(axis=1)
     return out
 
 
