@@ -25,8 +25,9 @@ from tessera.llm.common import crc_fold
 
 #: What a written character may stand for, beside itself.
 SUBSTITUTES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
-#: Channel costs in nats: reading a substitute, leaving out a separator, shortening a run by one, keeping a sign that isn't a letter.
-SUBSTITUTE_COST, SEPARATOR_COST, REPEAT_COST, KEEP_COST = 1.0, 0.5, 0.4, 6.0
+#: Channel costs in nats: reading a substitute, leaving out a separator, shortening a run by one, keeping a sign that isn't a letter,
+#: leaving out a substitute (but !) at an end.
+SUBSTITUTE_COST, SEPARATOR_COST, REPEAT_COST, KEEP_COST, EDGE_COST = 1.0, 0.5, 0.4, 10.0, 8.0
 #: Most labelled rows that are fitted, and most features of the model.
 MOST_LABELLED, MOST_FEATURES = 20_000, 20_000
 SYMBOLS = 28
@@ -81,10 +82,10 @@ def decode(written: str, model: LanguageModel) -> str:
             arcs += [(letter * k, cost + REPEAT_COST * (n - k)) for k in range(1, min(n, 3) + 1)]
         if not ch.isalpha():
             arcs.append((ch * n, KEEP_COST))
-            if not ch.isalnum() and 0 < i < len(runs) - 1:
+            if not 0 < i < len(runs) - 1:
+                arcs.append((" ", EDGE_COST if ch in SUBSTITUTES and ch != "!" else SEPARATOR_COST))
+            elif ch not in SUBSTITUTES and not ch.isalnum():
                 arcs.append(("", SEPARATOR_COST))
-            elif not ch.isalnum():
-                arcs.append((" ", SEPARATOR_COST))
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for two, (base, said) in beam.items():
             for out, cost in arcs:

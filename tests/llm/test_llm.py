@@ -160,7 +160,7 @@ def test_html(spark):
 
 
 def test_licenses(spark):
-    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code only"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/z.py", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("q/n.py", None), (None, "Released under the MIT License."), ("top.py", "")]
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code only"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/z.py", "import sys and print every argument of it\nLicensed under the Apache License, Version 2.0.\nreturn value of main function to shell"), ("q/n.py", None), (None, "Released under the MIT License."), ("top.py", "")]
     files = spark.createDataFrame(rows, "path string, text string").withColumn("license", F.lit("x"))
     got = {r.path: (r.stated, r.inherited, r.license) for r in licenses.scan(files).collect()}
     assert got["a/b/c/x.py"] == (None, "GPL-3.0", "GPL-3.0") and got["a/z.py"] == ("Apache-2.0", "MIT", "Apache-2.0")
@@ -183,7 +183,7 @@ def test_decontamination(spark, odd):
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").withColumn("spans", F.lit(1))
     for most in (1 << 20, 40):
         r = decontam.contamination(docs, bench, most_bytes=most).orderBy("doc_id").collect()
-        assert (r[0].n_words, r[0].n_hit, r[0]["items"]) == (23, 15 + 2 + 2, [1, 2])
+        assert (r[0].n_words, r[0].n_hit, r[0]["items"]) == (22, 15 + 2 + 2, [1, 2])
         assert [text[x["from"] : x["to"]] for x in r[0].offsets][1] == "short-one; odd item"
         assert (r[1].n_words, r[1].n_hit, r[2].n_hit) == (0, 0, 0)
     assert decontam.contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
