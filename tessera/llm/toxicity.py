@@ -13,7 +13,7 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ _LEET = "".join(map(re.escape, SUBSTITUTES))
 #: A word with a substitute inside or before letters, a run of three equal letters, or four or more characters spaced out.
 _SUSPECT = re.compile(
     rf"(?<!\S)[^\w\s]*(?:[{_LEET}]+[^\W\d_][^\s.,;:]*|[^\W\d_]+[{_LEET}]+[^\W_][^\s.,;:]*|[^\W\d_]*([^\W\d_])\1\1[^\s.,;:]*)"
-    rf"|(?<![^\W_])(?:[a-z{_LEET}][ .\-_*]{{1,2}}){{3,}}[a-z{_LEET}](?![^\W_])"
+    rf"|(?P<spaced>(?<![^\W_])(?:[a-z{_LEET}][ .\-_*]{{1,2}}){{3,}}[a-z{_LEET}](?![^\W_]))"
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,10 +48,18 @@ class LanguageModel:
 
     def __init__(self, counts: np.ndarray, k: float = 0.5):
         c = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float) + k
-        self.cost = -np.log(c / c.sum(axis=2, keepdims=True))
+        self._hold(-np.log(c / c.sum(axis=2, keepdims=True)))
 
-    def __call__(self, two: tuple[int, int], symbol: int) -> float:
-        return float(self.cost[two[0], two[1], symbol])
+    def _hold(self, cost: np.ndarray) -> None:
+        self.cost = cost
+        #: The costs of each next symbol, by state: the last two symbols as one number.
+        self.rows = cost.reshape(SYMBOLS * SYMBOLS, SYMBOLS).tolist()
+
+    @classmethod
+    def of(cls, cost: np.ndarray) -> LanguageModel:
+        model = cls.__new__(cls)
+        model._hold(cost)
+        return model
 
 
 def trigram_counts(texts: Iterator[str | None]) -> np.ndarray:
@@ -67,14 +75,17 @@ def _symbol(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0
 
 
-def decode(written: str, model: LanguageModel) -> str:
-    """The likeliest letters behind one lower-cased suspicious stretch.
+def decode(written: str, model: LanguageModel, apart: bool = True) -> str:
+    """The likeliest letters behind one lower-cased suspicious stretch of any length.
 
     The lattice's nodes are runs of equal characters.  A run of n is read as one to three copies of
-    a letter it may stand for, or left out if it is a separator between other characters, or kept.
+    a letter it may stand for, or left out if it is a separator between other characters, or read as
+    the blank between two words (only if ``apart``), or kept.  The states are the last two symbols,
+    so time is linear in the length; paths share their beginnings, as links to what was said before.
     """
     runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", written, re.S)]
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    rows, last = model.rows, len(runs) - 1
+    beam: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for i, (ch, n) in enumerate(runs):
         arcs: list[tuple[str, float]] = []
         letters = [(ch, 0.0)] if ch.isalpha() else [(x, SUBSTITUTE_COST) for x in SUBSTITUTES.get(ch, "")]
@@ -82,32 +93,56 @@ def decode(written: str, model: LanguageModel) -> str:
             arcs += [(letter * k, cost + REPEAT_COST * (n - k)) for k in range(1, min(n, 3) + 1)]
         if not ch.isalpha():
             arcs.append((ch * n, KEEP_COST))
-            if not 0 < i < len(runs) - 1:
+            if not 0 < i < last:
                 arcs.append((" ", EDGE_COST if ch in SUBSTITUTES and ch != "!" else SEPARATOR_COST))
             elif ch not in SUBSTITUTES and not ch.isalnum():
                 arcs.append(("", SEPARATOR_COST))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for two, (base, said) in beam.items():
-            for out, cost in arcs:
+                if apart:
+                    arcs.append((" ", SEPARATOR_COST))
+        said = [(out, [_symbol(x) for x in out], cost) for out, cost in arcs]
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for two, (base, link) in beam.items():
+            for out, symbols, cost in said:
                 total, state = base + cost, two
-                for x in out:
-                    s = _symbol(x)
-                    total += model(state, s)
-                    state = (state[1], s)
+                for s in symbols:
+                    total += rows[state][s]
+                    state = state % SYMBOLS * SYMBOLS + s
                 if state not in after or total < after[state][0]:
-                    after[state] = (total, said + out)
+                    after[state] = (total, (link, out))
         beam = after
-    return min((cost + model(two, 0), said) for two, (cost, said) in beam.items())[1]
+    link = min((cost + rows[two][0], two, link) for two, (cost, link) in beam.items())[2]
+    parts = []
+    while link:
+        link, out = link
+        parts.append(out)
+    return "".join(reversed(parts))
 
 
 class Restorer:
-    """Restores whole texts; stretches seen before are looked up (at most ``remember`` of them)."""
+    """Restores whole texts; short stretches seen before are looked up (at most ``remember`` of them).
+
+    Where separators may part words as well as letters, both readings are given.  Letters spaced out
+    hide where words begin, and the decoder may part them wrongly; so ``known`` words of four letters
+    or more that occur in such a stretch are named as well.
+    """
+
+    def __init__(self, model: LanguageModel, remember: int = 1 << 16, known: Iterable[str] = ()):
+        self.model, self._known = model, {w for w in known if len(w) >= 4}
+        self._lengths = sorted(set(map(len, self._known)))
+        self._seen = lru_cache(remember)(self._read)
+
+    def _read(self, stretch: str, spaced: bool) -> str:
+        words, word = decode(stretch, self.model), decode(stretch, self.model, apart=False)
+        said = [words] if words == word else [words, word]
+        if spaced:
+            said += sorted({w for n in self._lengths for i in range(len(word) - n + 1) if (w := word[i : i + n]) in self._known})
+        return " ".join(said)
 
-    def __init__(self, model: LanguageModel, remember: int = 1 << 16):
-        self._decode = lru_cache(remember)(lambda s: decode(s, model))
+    def _restore(self, m: re.Match) -> str:
+        return f" {(self._seen if len(m[0]) <= 64 else self._read)(m[0], m['spaced'] is not None)} "
 
     def __call__(self, text: str | None) -> str:
-        return _SUSPECT.sub(lambda m: f" {self._decode(m[0])} " if len(m[0]) <= 64 else m[0], text.lower()) if text else ""
+        return _SUSPECT.sub(self._restore, text.lower()) if text else ""
 
 
 def features(restored: str) -> set[str]:
@@ -155,9 +190,7 @@ def language_model(documents: DataFrame, text: str = "text") -> LanguageModel:
 
 
 def _evidence(cost: np.ndarray, weights: dict[str, float]):
-    model = LanguageModel.__new__(LanguageModel)
-    model.cost = cost
-    restore = Restorer(model)
+    restore = Restorer(LanguageModel.of(cost), known=(w for w in weights if not w.endswith("-")))
     get = weights.get
 
     def of(text: str | None) -> list[float]:
@@ -199,9 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     cost = spark.sparkContext.broadcast(pickle.dumps(lm.cost))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LanguageModel.__new__(LanguageModel)
-        model.cost = pickle.loads(cost.value)
-        restore = Restorer(model)
+        restore = Restorer(LanguageModel.of(pickle.loads(cost.value)))
         for batch in batches:
             sums = (Counter(), Counter())
             for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -246,9 +277,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, weights, calibration = pickle.loads(shipped.value)
-        lm = LanguageModel.__new__(LanguageModel)
-        lm.cost = cost
-        of = Model(lm, weights, calibration).scorer()
+        of = Model(LanguageModel.of(cost), weights, calibration).scorer()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([of(t.as_py()) for t in batch.column(at)], pa.float64())], [*names, "s"])
 

@@ -131,6 +131,26 @@ def test_toxicity_restores_and_scores(spark, odd):
     assert toxicity.score(odd, toxicity.train(odd, labels.limit(0)), out="s").first().s == 0.5
 
 
+def plain_model(said):
+    """A model of ``said`` as the corpus, in which some words are known as toxic."""
+    weights = {w: 6.0 for w in ("moron", "idiot", "scum", "stupid", "worthless", "ass")}
+    return toxicity.Model(toxicity.LanguageModel(toxicity.trigram_counts(iter(said))), weights, np.array([1.0, 0.0, 0.0, 0.0, -3.0]))
+
+
+SAID = ["you are a moron and an idiot. the scum and stupid are worthless, as all of them know. we found the letter in the harbour."] * 20
+
+
+def test_toxicity_stretches_of_every_length():
+    model = plain_model(SAID)
+    score = model.scorer()
+    said = "you are a worthless moron and all of them know it idiot"
+    for text in (" ".join(said.replace(" ", "")), "  ".join(" ".join(w) for w in said.split()), "stu" + "p" * 70 + "id", " ".join("the harbour and the letter".replace(" ", "") * 100) + " m o r o n"):
+        assert len(text) > 64 and score(text) > 0.9, text
+    assert score(" ".join("the harbour and the letter".replace(" ", ""))) < 0.1
+    restored = toxicity.Restorer(model.lm)("y o u a r e a m o r o n " * 5000)
+    assert restored.split().count("moron") > 4000
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     joined = quality.classify(docs, labels).join(labels, "doc_id")
