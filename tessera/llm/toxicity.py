@@ -35,11 +35,16 @@ SYMBOLS = 28
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
 
 _LEET = "".join(map(re.escape, SUBSTITUTES))
-#: A word with a substitute inside or before letters, a run of three equal letters, or four or more characters spaced out.
+#: Two or more single letters or substitutes with anything else between them; or, up to a stop or white space, whatever holds
+#: a substitute or a run of three equal letters.
 _SUSPECT = re.compile(
-    rf"(?<!\S)[^\w\s]*(?:[{_LEET}]+[^\W\d_][^\s.,;:]*|[^\W\d_]+[{_LEET}]+[^\W_][^\s.,;:]*|[^\W\d_]*([^\W\d_])\1\1[^\s.,;:]*)"
-    rf"|(?P<spaced>(?<![^\W_])(?:[a-z{_LEET}][ .\-_*]{{1,2}}){{3,}}[a-z{_LEET}](?![^\W_]))"
+    rf"(?P<spaced>(?<![^\W_])(?:[^\W\d_]|[{_LEET}])(?:(?:[^\w{_LEET}]|_)++(?:[^\W\d_]|[{_LEET}])(?![{_LEET}]*[^\W_]))++)"
+    rf"|(?<![^\s.,;:])(?:[^\s.,;:{_LEET}]*+[{_LEET}]|[^\s.,;:]*?([^\W\d_])\2\2)[^\s.,;:]*+"
 )
+_APART = re.compile(rf"(?:[^\w{_LEET}]|_)+")
+_HIDDEN = re.compile(rf"[{_LEET}]|([^\W\d_])\1\1")
+_PLAIN = re.compile(rf"(?<![^\W_])(?<![{_LEET}])[^\W\d_]{{3,}}+(?=[{_LEET}]++(?![^\W_]))")
+_ALONE = re.compile(r"(?:[\W\d_]*[^\W\d_](?![^\W\d_])){3,}[\W\d_]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -121,9 +126,11 @@ def decode(written: str, model: LanguageModel, apart: bool = True) -> str:
 class Restorer:
     """Restores whole texts; short stretches seen before are looked up (at most ``remember`` of them).
 
-    Where separators may part words as well as letters, both readings are given.  Letters spaced out
-    hide where words begin, and the decoder may part them wrongly; so ``known`` words of four letters
-    or more that occur in such a stretch are named as well.
+    Where separators may part words as well as letters, the stretch is given as one word, as several,
+    and part by part; signs between single letters are left out in one more reading.  Words
+    written plainly before a substitute stay.  Letters spaced out hide where words begin, and the
+    decoder may part them wrongly; so ``known`` words of four letters or more that occur in such a
+    stretch are named as well.  A number alone isn't read as a word, unless its digits are spaced out.
     """
 
     def __init__(self, model: LanguageModel, remember: int = 1 << 16, known: Iterable[str] = ()):
@@ -132,14 +139,26 @@ class Restorer:
         self._seen = lru_cache(remember)(self._read)
 
     def _read(self, stretch: str, spaced: bool) -> str:
-        words, word = decode(stretch, self.model), decode(stretch, self.model, apart=False)
-        said = [words] if words == word else [words, word]
-        if spaced:
-            said += sorted({w for n in self._lengths for i in range(len(word) - n + 1) if (w := word[i : i + n]) in self._known})
-        return " ".join(said)
+        parts = [x for x in _APART.split(stretch) if x]
+        said = [decode(stretch, self.model)]
+        if len(parts) > 1:
+            said.append(decode(stretch, self.model, apart=False))
+            if not spaced:
+                said += [decode(x, self.model) for x in parts if len(x) > 1 and _HIDDEN.search(x) and _WORD.search(x)]
+        said += _PLAIN.findall(stretch)
+        whole = [said[len(parts) > 1]]
+        if _ALONE.fullmatch(stretch) and any(x in SUBSTITUTES and not x.isalnum() for x in stretch):
+            whole.append("".join(_WORD.findall(stretch)))
+            said.append(whole[-1])
+        if spaced or len(whole) > 1:
+            said += sorted({w for x in whole for n in self._lengths for i in range(len(x) - n + 1) if (w := x[i : i + n]) in self._known})
+        return " ".join(dict.fromkeys(said))
 
     def _restore(self, m: re.Match) -> str:
-        return f" {(self._seen if len(m[0]) <= 64 else self._read)(m[0], m['spaced'] is not None)} "
+        stretch, spaced = m[0], m["spaced"] is not None
+        if not (_WORD.search(stretch) or "@" in stretch or (spaced and len(stretch) > 6)):
+            return stretch
+        return f" {(self._seen if len(stretch) <= 64 else self._read)(stretch, spaced)} "
 
     def __call__(self, text: str | None) -> str:
         return _SUSPECT.sub(self._restore, text.lower()) if text else ""

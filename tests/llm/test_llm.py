@@ -151,6 +151,19 @@ def test_toxicity_stretches_of_every_length():
     assert restored.split().count("moron") > 4000
 
 
+def test_toxicity_gate():
+    model = plain_model(SAID)
+    score, restore = model.scorer(), toxicity.Restorer(model.lm)
+    hidden = ["a s s", "s/c/u/m", "s~c~u~m", "s\nc\nu\nm", "s   c   u   m", "s|c|u|m", "idio7", "as$", "you-m0r0n", "all,m0r0n", "(m0r0n)", "m0-ron", "idiot7", "idiot$$$", "idiot!!"]
+    for text in hidden:
+        assert score(f"the {text} there") > 0.9, (text, restore(text))
+    for text in ("2024", "1.5 2.0", "a | b | c", "the letter!", "the harbour-letter", "", None):
+        assert score(text) < 0.1, (text, restore(text))
+    assert restore("in 2024, 17.5 of 300") == "in 2024, 17.5 of 300"
+    for text in ("!" * 50_000, "a" * 50_000, "a-" * 50_000, "! " * 50_000, "1" * 50_000 + "a"):
+        restore(text)
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     joined = quality.classify(docs, labels).join(labels, "doc_id")
