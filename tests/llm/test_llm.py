@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -210,6 +211,19 @@ def test_licenses(spark):
         assert a == b or b[1] < licenses.WHOLE
 
 
+def test_licenses_whole_texts_headers_and_paragraphs(spark):
+    texts = licenses.license_texts()
+    gnu = lambda what, name, version: licenses._gnu(what, name, version, licenses._SEE)
+    wrap = lambda t: "\n".join("# " + x for x in textwrap.wrap(t, 70))
+    rows = [(name, t) for name, t in texts.items()] + [(name, " ".join(t.split())) for name, t in texts.items()]
+    for name, t in (("GPL-2.0", gnu("program", licenses._GPL, "2")), ("GPL-3.0", gnu("program", licenses._GPL, "3")), ("LGPL-2.1", gnu("library", licenses._LGPL, "2.1")), ("LGPL-3.0", gnu("library", licenses._LGPL, "3")), ("AGPL-3.0", gnu("program", licenses._AGPL, "3")), ("Apache-2.0", licenses.TEMPLATES["Apache-2.0"][2])):
+        rows += [(name, t), (name, wrap(t)), (name, wrap(t) + "\nimport sys\n" + "print the sum of numbers\n" * 50)]
+    rows += [("MIT", "This is a tool for sums. Released under the MIT License. Readers find more below, with many words about other things of interest."), ("MIT", "A readme about sums\n\n" + texts["MIT"] + "\nAnd more of the numbers\n" * 30), ("BSD-2-Clause", "Released under the BSD 2-Clause License."), ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."), ("BSD-3-Clause", "Copyright (c) 2020 Ann. All rights reserved.\n" + texts["BSD-3-Clause"]), ("BSD-2-Clause", texts["BSD-2-Clause"].replace("\nmodification, are", " modification, are").replace("conditions\nare met", "conditions are met")), (None, "code and words of it\nfor the sum of the numbers")]
+    files = spark.createDataFrame([(f"d{i}/x", name, t) for i, (name, t) in enumerate(rows)], "path string, name string, text string")
+    wrong = [(r.name, r.stated, r.stated_score, rows[int(r.path[1:-2])][1][:80]) for r in licenses.scan(files, keep=["path", "name"]).collect() if r.stated != r.name]
+    assert not wrong, wrong
+
+
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "Short One"), (None, "odd item"), (3, ""), (4, None), (2, "Short One")], "item_id long, text string")
     text = "Start, " + " ".join(f"W{i}" for i in range(3, 18)) + " and short-one; odd item end"
