@@ -296,3 +296,61 @@ def test_pipeline(spark):
         assert after.select("doc_id").subtract(docs.select("doc_id")).count() == 0
         docs = after
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Each stage's rows, and run()'s, on documents of known kinds."""
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    clean = [(i, prose(60)) for i in range(60)]
+    toxic = [(100 + i, prose(30) + " moron " + prose(30)) for i in range(40)]
+    asked = prose(20)
+    shared = prose(12)
+    more = [(200, clean[0][1]), (201, clean[1][1]), (300, prose(20) + " " + asked + " " + prose(20)), (301, shared + " " + prose(60)), (302, prose(40) + " " + shared), (303, None), (304, "")]
+    rows = [(d, t, "en", "ab"[d % 2], len(t or "")) for d, t in clean + toxic + more]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    tables = {"documents": spark.createDataFrame(rows, schema), "labels": spark.createDataFrame([(d, 1, int(100 <= d < 140)) for d, _ in clean + toxic], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, asked)], "item_id long, text string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {d: x for d, *x in rows if not 100 <= d < 140}
+    after = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        if k == 1:  # one of each group of equal fingerprints or ones at most three bits apart
+            fp = {d: brute_fingerprint(x[0]) for d, x in want.items()}
+            root = {d: d for d in want}
+            for _ in want:
+                for a in want:
+                    for b in want:
+                        if root[a] != root[b] and (fp[a] ^ fp[b]).bit_count() <= 3:
+                            root[a] = root[b] = min(root[a], root[b])
+            want = {d: x for d, x in want.items() if root[d] == d}
+            assert {200, 201}.isdisjoint(want)
+        if k == 2:
+            seen: set[bytes] = set()
+            for d in sorted(want):
+                b = (want[d][0] or "").encode()
+                grams = [b[i : i + 50] for i in range(len(b) - 49)]
+                cut = {j for i, g in enumerate(grams) if g in seen for j in range(i, i + 50)}
+                seen.update(grams)
+                left = bytes(x for j, x in enumerate(b) if j not in cut).decode()
+                want[d] = [left, *want[d][1:3], len(left)]
+            assert len(want[302][0]) < len(more[4][1])
+        if k == 3:
+            bad = {" ".join(asked.split()[i : i + 13]) for i in range(8)}
+            def hit(t):
+                w = (t or "").split()
+                return len({j for i in range(len(w)) if " ".join(w[i : i + 13]) in bad for j in range(i, i + 13)}), len(w)
+            want = {d: x for d, x in want.items() if not (hit(x[0])[0] and 20 * hit(x[0])[0] >= hit(x[0])[1])}
+            assert 300 not in want
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        got = {x.doc_id: list(x)[1:] for x in docs.collect()}
+        assert len(got) == docs.count() and got == want, (k, got.keys() ^ want.keys())
+    last = [tuple(x) for x in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()]
+    size = {d: len((x[0] or "").split()) for d, x in want.items()}
+    assert {x[0]: x[1:3] for x in last} == {d: (x[2], size[d]) for d, x in want.items()}
+    assert {x[3] for x in last if x[1] == "a"} == {sum(size[d] for d, x in want.items() if x[2] == "a")}
+    key = lambda rows: sorted(map(str, rows))
+    assert key(tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == key(last)
