@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TIDY, Scratch, settings
+from tessera.llm.common import Scratch, lean
 from tessera.llm.graph import components
 
 COSINE = 0.95
@@ -201,8 +201,7 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
     found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(cosine), "a long, b long, n long")
     found = scratch.table(found, "found")
     scratch.drop("filters")
-    with settings(spark, **TIDY):
-        roots = components(spark, found.where("b is not null").select("a", "b"))
+    roots = components(spark, found.where("b is not null").select("a", "b"), scratch)
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     about = nodes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     about = about.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))

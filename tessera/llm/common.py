@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +26,13 @@ _FALLBACK: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests in local mode) a temporary folder is made.
+    Where the setting is absent a temporary folder is made in local mode; on a cluster that is an
+    error, since executors would write to folders that no other machine sees.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _FALLBACK:
             _FALLBACK.append(tempfile.mkdtemp(prefix="tessera-"))
         found = _FALLBACK[0]
@@ -47,6 +55,37 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Rows of an Arrow batch: texts may be long, and the JVM and Python both hold a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which a Python worker that goes on to other tasks keeps nothing of this one."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 #: Shuffle files of a finished scratch write go at once rather than when the driver's heap is next collected.
 TIDY = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
 
@@ -58,16 +97,33 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_OPEN: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def finished():
+    """Results of operators called in this block are used up at its end: their scratch tables go."""
+    before = set(map(id, _OPEN))
+    try:
+        yield
+    finally:
+        for scratch in [x for x in _OPEN if id(x) not in before]:
+            scratch.close()
+
+
 class Scratch:
     """Tables written to the shared folder so that later steps survive a lost executor.
 
     ``table`` writes and rereads a DataFrame; ``drop`` removes one that no later step reads.
-    Tables still needed by the lazily evaluated result are removed when the driver exits.
+    Tables still needed by the lazily evaluated result are removed at the end of a ``finished``
+    block around the operator and the use of its result, or else when the driver exits.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: list[str] = []
+        small_batches(spark)
+        _OPEN.append(self)
         atexit.register(self.close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -90,6 +146,8 @@ class Scratch:
 
     def close(self) -> None:
         atexit.unregister(self.close)
+        if self in _OPEN:
+            _OPEN.remove(self)
         with contextlib.suppress(Exception):
             for t in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {t}")

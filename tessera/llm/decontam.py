@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 from itertools import accumulate
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, lean
 
 #: Bytes of normal text: a-z, 0-9 and all non-ASCII as they are, A-Z lower-cased, the rest white space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -87,7 +86,6 @@ def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(points(edges[2 * a]), points(edges[2 * b - 1])) for a, b in spans]
 
 
-_LOADED: dict[str, object] = {}
 _SPAN = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
@@ -95,16 +93,13 @@ def _scanner(part, width: int, first: bool, last: bool):
     """part: a broadcast, pickled list of (id, text).  Later passes find ``spans`` and ``items`` of earlier ones beside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = f"{hashlib.sha1(part.value).hexdigest()} {width}"
-        if tag not in _LOADED:  # once a worker
-            _LOADED.clear()
-            _LOADED[tag] = automaton(pickle.loads(part.value), width)
+        auto = automaton(pickle.loads(part.value), width)
         for batch in batches:
             counts, all_spans, all_items, offsets = [], [], [], []
             earlier = [] if first else [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()]
             for i, cell in enumerate(batch.column(0 if first else 3)):
                 text = cell.as_py()
-                n, spans, ids = scan(text, _LOADED[tag])
+                n, spans, ids = scan(text, auto)
                 if earlier:
                     spans, ids = merge(spans + [(x["from"], x["to"]) for x in earlier[1][i]]), ids | set(earlier[2][i])
                 counts.append(n)
@@ -159,7 +154,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
         group = items if passes == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
         part = spark.sparkContext.broadcast(pickle.dumps(sorted(((r.i, r.t) for r in group.toLocalIterator()), key=str)))
         last = k == passes - 1
-        frame = frame.mapInArrow(_scanner(part, width, k == 0, last), ", ".join(["_n long", f"_s {span}", "_i array<bigint>", *([f"_o {span}"] if last else fields[:1]), *fields[1:]]))
+        frame = frame.mapInArrow(lean(_scanner(part, width, k == 0, last)), ", ".join(["_n long", f"_s {span}", "_i array<bigint>", *([f"_o {span}"] if last else fields[:1]), *fields[1:]]))
         frame = frame if last else scratch.table(frame, str(k))
     n_hit = F.aggregate("_s", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
     kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]

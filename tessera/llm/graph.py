@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import Scratch
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``edges(a long, b long)`` -> ``(node long, root long)``, root the smallest node reachable.
 
     Nodes without an edge do not appear.  Null ends and self loops are ignored, repeated edges
     harmless; an empty table gives an empty result.  Each round hooks every node to the smallest
-    node next to it (two aggregations with map-side combining and two equi joins), so a hub with
-    many links is never gathered in one place, and rounds grow with the logarithm of the longest
-    chain.  Every round is cut with checkpoint() to the shared folder.
+    node next to it (two aggregations with map-side combining and two equi joins).  The joins deal
+    out the edges by node; a hub's edges are split by the skew join of adaptive execution, and after
+    one round a hub is no node's neighbour but its members' root.  Rounds grow with the logarithm of
+    the longest chain.  Every round is a table in the shared folder; the one before it is dropped.
     """
-    shared_dir(spark)
+    scratch = scratch or Scratch(spark, "graph")
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
-    now = edges.where("a is not null and b is not null and a <> b").select(hi.alias("u"), lo.alias("v")).distinct().checkpoint()
-    mark = _mark(now)
+    now = scratch.table(edges.where("a is not null and b is not null and a <> b").select(hi.alias("u"), lo.alias("v")).distinct(), "edges-0")
+    mark, k = _mark(now), 0
     while mark[0]:
         sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        large = scratch.table(sides.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large-{k}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        before, mark = mark, _mark(now)
+        after = scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"edges-{k + 1}")
+        scratch.drop(f"large-{k}")
+        scratch.drop(f"edges-{k}")
+        now, k, before, mark = after, k + 1, mark, _mark(after)
         if mark == before:
             break
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORDS, Scratch
+from tessera.llm.common import WORDS, Scratch, lean
 
 #: Weights of the sources by their order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -144,7 +144,7 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
                 rows.append((i, n_blocks[i], shard, first[i], n))
                 first[i] += n
     slots = spark.createDataFrame(rows, "source_no long, n_blocks long, shard long, first long, n long").repartition("source_no", "shard")
-    slots = slots.mapInArrow(_slots(seed), "source_no long, shard long, slot long, pass long, block_no long")
+    slots = slots.mapInArrow(lean(_slots(seed)), "source_no long, shard long, slot long, pass long, block_no long")
 
     b = F.lit(block)
     spans = laid.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block_no"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_ASCII, TIDY, Scratch, settings
+from tessera.llm.common import LOWER_ASCII, Scratch, lean
 from tessera.llm.graph import components
 
 #: Generator of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -179,7 +179,7 @@ def link_keys(keys: DataFrame, most: int = KEY_ROWS) -> DataFrame:
     dealt = keys.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
     dealt = dealt.select("*", other).select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp", "rep")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_links), "a long, b long")
 
 
 #: Nodes of rows without an id; they come after all ids.
@@ -205,11 +205,10 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
     given = documents.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), *carried)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in given.schema[1:]]
-    fps = scratch.table(given.mapInArrow(_fingerprints, ", ".join(["fp long", *fields])).withColumn("node", F.coalesce("doc_id", F.col("rid") + F.lit(NAMELESS))), "fps")
+    fps = scratch.table(given.mapInArrow(lean(_fingerprints), ", ".join(["fp long", *fields])).withColumn("node", F.coalesce("doc_id", F.col("rid") + F.lit(NAMELESS))), "fps")
     distinct = fps.groupBy("fp").agg(F.min(F.struct("node", "rid")).alias("first")).select("fp", F.col("first.node").alias("rep"), F.col("first.rid").alias("first"))
-    keys = distinct.repartition("fp").mapInArrow(_keys, "key long, fp long, rep long")
-    with settings(spark, **TIDY):
-        roots = components(spark, link_keys(keys)).withColumnRenamed("node", "rep")
+    keys = distinct.repartition("fp").mapInArrow(lean(_keys), "key long, fp long, rep long")
+    roots = components(spark, link_keys(keys), scratch).withColumnRenamed("node", "rep")
     known = distinct.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"), F.when(F.coalesce("root", "rep") == F.col("rep"), F.col("first")).alias("first"))
     found = fps.join(known, "fp")
     named = F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id")

@@ -17,7 +17,6 @@ a smaller id holds the same bytes anywhere.  Three steps find all of them exactl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, lean
 
 #: Length of a repeated string, length of an anchor, mean length of a chunk, all in bytes.
 LENGTH, GRAM, CHUNK = 50, 20, 128
@@ -35,10 +34,9 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Documents with a null id come after all others.
 LAST = (1 << 63) - 1
 #: Bytes of contexts that are sorted at once.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 19
 
 
-@lru_cache(8)
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -268,7 +266,7 @@ def _packed(df: DataFrame, name: str) -> DataFrame:
                 out.append(merge_spans(pairs.astype(np.int64)).astype(np.int32).tobytes())
             yield _batch(["rid", name], batch["rid"], pa.array(out, pa.binary()))
 
-    return df.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("s")).mapInArrow(run, f"rid long, {name} binary")
+    return df.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("s")).mapInArrow(lean(run), f"rid long, {name} binary")
 
 
 def _anchors(length: int, gram: int):
@@ -459,18 +457,18 @@ def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     base = scratch.bucketed(base.withColumn("rid", F.monotonically_increasing_id()), "texts", "rid")
     texts = base.select("doc", "rid", "text")
 
-    chunks = scratch.table(texts.mapInArrow(_chunks(length), "h1 long, h2 long, doc long, rid long, from int, to int"), "chunks")
+    chunks = scratch.table(texts.mapInArrow(lean(_chunks(length)), "h1 long, h2 long, doc long, rid long, from int, to int"), "chunks")
     earliest = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2", "least")
     dups = scratch.table(_packed(chunks.join(earliest, ["h1", "h2"]).where("doc > least").select("rid", "from", "to"), "dups"), "dups")
     scratch.drop("chunks")
 
     with_dups = texts.join(dups.hint("shuffle_hash"), "rid", "left")
-    runs = with_dups.select("rid", "text", "dups").mapInArrow(_anchors(length, gram), "key long, rid long, run long, h long")
-    shared = runs.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_shared, "rid long, run long, h long")
+    runs = with_dups.select("rid", "text", "dups").mapInArrow(lean(_anchors(length, gram)), "key long, rid long, run long, h long")
+    shared = runs.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(lean(_shared), "rid long, run long, h long")
     wanted = scratch.table(shared.groupBy("rid").agg(F.collect_list(F.struct("run", "h")).alias("wanted")), "wanted")
 
-    contexts = texts.join(wanted.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "wanted").mapInArrow(_contexts(length), "h long, doc long, rid long, at int, bytes binary")
-    found = contexts.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_sorted_hits(length), "rid long, from int, to int")
+    contexts = texts.join(wanted.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "wanted").mapInArrow(lean(_contexts(length)), "h long, doc long, rid long, at int, bytes binary")
+    found = contexts.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(lean(_sorted_hits(length)), "rid long, from int, to int")
     hits = scratch.table(_packed(found, "hits"), "hits")
     scratch.drop("wanted")
 
@@ -500,5 +498,5 @@ def _finish(done: DataFrame, keep: list[str], length: int) -> DataFrame:
             for out in inner(iter([batch])):
                 yield _batch(["n_bytes", "kept", "spans", *kept], out["n_bytes"], out["kept"], out["spans"], *[batch[k] for k in kept])
 
-    made = done.mapInArrow(run, ", ".join(["n_bytes long, kept binary, spans array<struct<`from`:bigint,`to`:bigint>>", *[f"{k} {types[k]}" for k in kept]]))
+    made = done.mapInArrow(lean(run), ", ".join(["n_bytes long, kept binary, spans array<struct<`from`:bigint,`to`:bigint>>", *[f"{k} {types[k]}" for k in kept]]))
     return made.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "n_bytes", "kept", "spans")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_fold
+from tessera.llm.common import crc_fold, lean, small_batches
 
 #: What a written character may stand for, beside itself.
 SUBSTITUTES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
@@ -203,7 +203,7 @@ def language_model(documents: DataFrame, text: str = "text") -> LanguageModel:
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
     counts = np.zeros(SYMBOLS**3, np.int64)
-    for r in documents.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in documents.select(text).mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         counts[r.code] = r.n
     return LanguageModel(counts)
 
@@ -243,6 +243,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     scores every text by the share of toxic labels (0.5 with one added to either class if none).
     """
     spark: SparkSession = documents.sparkSession
+    small_batches(spark)
     lm = language_model(documents, text)
     rows = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     rows = rows.where(crc_fold(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
@@ -263,7 +264,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return Model(lm, {}, np.array([0.0, 0.0, 0.0, 0.0, math.log((n_toxic + 1) / (n_clean + 1))]))
-    sums = sample.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
+    sums = sample.mapInArrow(lean(count), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
     p, q = F.lit(n_toxic / (n_toxic + n_clean)), F.lit(n_clean / (n_toxic + n_clean))
     a, b = F.col("a"), F.col("b")
     term = lambda x, e: F.when(x > 0, x * F.log(x / ((a + b) * e))).otherwise(0.0)
@@ -280,7 +281,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             x = [of(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    fitted = sample.mapInArrow(summaries, "x array<double>, y int").collect()  # four numbers a labelled row
+    fitted = sample.mapInArrow(lean(summaries), "x array<double>, y int").collect()  # four numbers a labelled row
     x, y = np.array([r.x for r in fitted]), np.array([float(r.y > 0) for r in fitted])
     order = np.lexsort((*x.T, y))  # the same sums whatever the order of rows
     return Model(lm, weights, fit_logistic(x[order], y[order]))
@@ -289,6 +290,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 def score(documents: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``documents`` and a column ``out``, 0 to 1, of the whole text; null and empty texts get the score of no evidence."""
     spark: SparkSession = documents.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(pickle.dumps((model.lm.cost, model.weights, model.calibration)))
     schema = documents.schema
     names = [f"c{i}" for i in range(len(schema))]
@@ -300,5 +302,5 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([of(t.as_py()) for t in batch.column(at)], pa.float64())], [*names, "s"])
 
-    made = documents.toDF(*names).mapInArrow(run, ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True)], "s double"]))
+    made = documents.toDF(*names).mapInArrow(lean(run), ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True)], "s double"]))
     return made.toDF(*documents.columns, out)
