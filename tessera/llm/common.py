@@ -154,6 +154,22 @@ class Scratch:
         _remove(self.spark, self.root)
 
 
+#: Keys with more rows than the first number, and than their even share of the second, are hot: so there are at most that many.
+HOT_ROWS, HOT_KEYS = 2048, 10_000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, count: str, least: int = HOT_ROWS) -> DataFrame:
+    """Inner join with ``right``, which has one row a key and in ``count`` how many rows of ``left`` have it.
+
+    The rows of hot keys stay where they are: their part of ``right``, at most HOT_KEYS rows, is
+    broadcast.  The others are joined as usual.  Both sides are read twice, so they should be tables.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(least, total // HOT_KEYS)
+    few = F.broadcast(right.where(hot))
+    return left.join(few, key).unionByName(left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key))
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
