@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_ASCII, Scratch, lean
+from tessera.llm.common import LOWER_ASCII, Scratch, lean, split_join
 from tessera.llm.graph import components
 
 #: Generator of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -117,11 +117,11 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of each key from rows (key, fp, rep) sorted by key; a key's rows may span batches."""
+    """Edges between fingerprints of each key from rows (key, fp) sorted by key; a key's rows may span batches."""
     held: list[np.ndarray] = []
 
     def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, fp, rep = rows
+        key, fp = rows
         a, b = [], []
         size = np.diff(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))))
         of = np.repeat(size, size)
@@ -130,13 +130,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = small[small + shift < len(key)]
             i = i[key[i] == key[i + shift]]
             i = i[np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + shift].view(np.uint64)) <= MAX_ERRORS]
-            a.append(rep[i])
-            b.append(rep[i + shift])
+            a.append(fp[i])
+            b.append(fp[i + shift])
         start = np.cumsum(size) - size
         for s, n in zip(start[size > 8], size[size > 8], strict=True):
             i, j = forest(fp[s : s + n].view(np.uint64))
-            a.append(rep[s + i])
-            b.append(rep[s + j])
+            a.append(fp[s + i])
+            b.append(fp[s + j])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     for batch in batches:
@@ -165,12 +165,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column("fp").to_numpy()
         row, key = fuzzy_keys(fp.view(np.uint64))
-        rep = batch.column("rep").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(rep[row])], ["key", "fp", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
 
 def link_keys(keys: DataFrame, most: int = KEY_ROWS) -> DataFrame:
-    """Deal rows (key, fp, rep) so that a task compares at most ``2 * most`` rows of a key.
+    """Deal rows (key, fp) so that a task compares at most about ``2 * most`` rows of a key; returns edges (a, b) of fingerprints.
 
     A key with more rows is split into blocks by fingerprint hash; its rows go to every pair of
     blocks that holds theirs, so each pair of rows still meets.
@@ -178,38 +177,38 @@ def link_keys(keys: DataFrame, most: int = KEY_ROWS) -> DataFrame:
     hot = keys.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("long").alias("blocks"))
     dealt = keys.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
-    dealt = dealt.select("*", other).select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp", "rep")
+    dealt = dealt.select("*", other).select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_links), "a long, b long")
 
 
-#: Nodes of rows without an id; they come after all ids.
-NAMELESS = 1 << 62
-
-
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``(doc_id long, fingerprint string, component_id long, kept boolean)`` for every row of ``documents``.
 
-    Documents link at three or fewer differing bits; ``component_id`` is the smallest doc_id
-    reachable over links, and ``kept`` marks one row of each component, that of this id.  Null,
-    empty and blank texts have fingerprint 0 and link like any other.  A null doc_id comes after all
-    others; a component without any id has a null ``component_id`` and still one kept row.  Rows
-    that share an id and a fingerprint are repeats, of which at most one is kept.  Columns named in
-    ``keep`` are carried along (a clashing name isn't allowed); others are ignored.  An empty table
-    gives no rows.
+    Documents link at three or fewer differing bits; ``component_id`` is the smallest doc_id (any
+    long) reachable over links, and ``kept`` marks one row of each component, one of this id.  Null,
+    empty and blank texts have fingerprint 0 and link like any other.  Very long texts count whole, a
+    block of shingles at a time.  A null doc_id comes after all others; a component without any id has
+    a null ``component_id`` and still one kept row.  Rows that share an id stay separate rows: of rows
+    with the smallest id of a component one is kept.  Columns named in ``keep`` are carried along and
+    come after these four (a kept column of one of their names must be renamed by the caller); others
+    are ignored, whatever their names.  An empty table gives no rows.
 
     Equal fingerprints are one row (by aggregation) before keys are made, and within a key only a
-    spanning forest leaves the task, so groups of copies cost rows in proportion to their size.
+    spanning forest leaves the task, so groups of copies cost rows in proportion to their size.  What
+    is known of a fingerprint that very many rows have is brought to these rows, not they to it.
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "simhash")
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
     given = documents.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), *carried)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in given.schema[1:]]
-    fps = scratch.table(given.mapInArrow(lean(_fingerprints), ", ".join(["fp long", *fields])).withColumn("node", F.coalesce("doc_id", F.col("rid") + F.lit(NAMELESS))), "fps")
-    distinct = fps.groupBy("fp").agg(F.min(F.struct("node", "rid")).alias("first")).select("fp", F.col("first.node").alias("rep"), F.col("first.rid").alias("first"))
-    keys = distinct.repartition("fp").mapInArrow(lean(_keys), "key long, fp long, rep long")
-    roots = components(spark, link_keys(keys), scratch).withColumnRenamed("node", "rep")
-    known = distinct.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"), F.when(F.coalesce("root", "rep") == F.col("rep"), F.col("first")).alias("first"))
-    found = fps.join(known, "fp")
-    named = F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named, F.coalesce(F.col("first") == F.col("rid"), F.lit(False)).alias("kept"), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep or [])])
+    fps = scratch.table(given.mapInArrow(lean(_fingerprints), ", ".join(["fp long", *fields])), "fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid"))
+    distinct = scratch.table(fps.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "distinct")
+    keys = distinct.select("fp").repartition("fp").mapInArrow(lean(_keys), "key long, fp long")
+    roots = components(spark, link_keys(keys), scratch)
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    leader = member.groupBy("root").agg(F.min("first").alias("leader"))
+    known = scratch.table(member.join(leader, "root").select("fp", "n", F.col("leader.doc_id").alias("component_id"), F.col("leader.rid").alias("leader")), "known")
+    found = split_join(fps, known, "fp", "n")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("leader") == F.col("rid")).alias("kept"), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep or [])])
