@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, lean
+from tessera.llm.common import Scratch, lean, split_join
 from tessera.llm.graph import components
 
 COSINE = 0.95
@@ -76,13 +76,18 @@ def _decode(dots: list[np.ndarray], best: list[float], limit: float) -> tuple[np
     return numbers, sums
 
 
+def _narrow(blocks: int, code: int):
+    return np.uint16 if code**blocks <= 1 << 16 else np.uint32 if code**blocks <= 1 << 32 else np.int64
+
+
 def _listed(blocks: int, code: int, deviations: float, least: int):
-    """Rows (rep, copies, v) to (key, rep, copies, v, others), a row for each filter; ``others`` are the vector's filters, ascending."""
+    """Rows (node, copies, v) to (key, node, copies, v, others), a row for each filter; ``others`` are the vector's filters, ascending, in the narrowest type."""
+    narrow = _narrow(blocks, code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, copies = (batch[c].to_numpy() for c in ("rep", "copies"))
-            cells = [np.array(v.as_py(), np.float64) for v in batch["v"]]
+            nodes, copies = (batch[c].to_numpy() for c in ("node", "copies"))
+            cells = [_scaled(np.array(v.as_py(), np.float64)) for v in batch["v"]]
             by: dict[int, list[int]] = {}
             for i, v in enumerate(cells):
                 by.setdefault(len(v), []).append(i)
@@ -92,15 +97,30 @@ def _listed(blocks: int, code: int, deviations: float, least: int):
                     x = np.stack([cells[i] for i in part])
                     lists = filters(x / np.linalg.norm(x, axis=1)[:, None], blocks, code, deviations, least)
                     of = np.repeat(part, [len(f) for f in lists])
-                    raw = [cells[i].tobytes() for i in part]
-                    every = [f.astype(np.int64).tobytes() for f in lists]
+                    raw = [_packed(cells[i]) for i in part]
+                    every = [f.astype(narrow).tobytes() for f in lists]
                     number = np.repeat(np.arange(len(part)), [len(f) for f in lists])
                     key = np.concatenate(lists) + (dim << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(reps[of]), pa.array(copies[of]), pa.array([raw[j] for j in number], pa.binary()), pa.array([every[j] for j in number], pa.binary())], ["key", "rep", "copies", "v", "others"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[of]), pa.array(copies[of]), pa.array([raw[j] for j in number], pa.binary()), pa.array([every[j] for j in number], pa.binary())], ["key", "node", "copies", "v", "others"])
 
     return run
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """``v`` by its largest part's power of two, so that no square is too large or small; cosines stay the same to the bit or nearly."""
+    return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """As single precision where nothing is lost (vectors stored so), else in double."""
+    single = v.astype(np.float32)
+    return b"f" + single.tobytes() if (single == v).all() else b"d" + v.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[:1] == b"f" else np.float64, offset=1).astype(np.float64)
+
+
 def _first_common(number: int, left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Of ``pairs`` (rows i, j), those that share no filter below ``number``: so that each pair counts once."""
     seen = np.unique(np.concatenate([f[f < number] for f in left + right]))
@@ -119,17 +139,17 @@ def _first_common(number: int, left: list[np.ndarray], right: list[np.ndarray],
     return pairs[keep]
 
 
-def _compared(cosine: float):
+def _compared(cosine: float, narrow):
     """Rows of keys (key, i, j), sorted, to (a, b, n): links counted (b null) and edges that span the linked rows (n zero)."""
 
     def compare(rows: list[tuple]) -> Iterator[tuple[list, list, list]]:
         key, part_i, part_j = rows[0][:3]
-        x = np.stack([np.frombuffer(r[6], np.float64) for r in rows])
+        x = np.stack([_unpacked(r[6]) for r in rows])
         x /= np.linalg.norm(x, axis=1)[:, None]
         mine = np.array([r[3] for r in rows])
         left, right = np.flatnonzero(mine == part_i), np.flatnonzero(mine == part_j)
-        lists = [np.frombuffer(r[7], np.int64) for r in rows]
-        copies, rep = np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
+        lists = [np.frombuffer(r[7], narrow).astype(np.int64) for r in rows]
+        copies, node = np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
         close = x[left] @ x[right].T >= cosine
         if part_i == part_j:
             close = np.triu(close, 1)
@@ -140,7 +160,7 @@ def _compared(cosine: float):
         a, b = left[pairs[:, 0]], right[pairs[:, 1]]
         links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
         some = np.flatnonzero(links)
-        yield rep[some].tolist(), [None] * len(some), links[some].astype(int).tolist()
+        yield node[some].tolist(), [None] * len(some), links[some].astype(int).tolist()
         root = np.arange(len(rows))  # edges of a spanning forest, by hooking each row to the smallest of its component
         while True:
             low = root.copy()
@@ -151,7 +171,7 @@ def _compared(cosine: float):
                 break
             root = low
         some = np.flatnonzero(root != np.arange(len(rows)))
-        yield rep[some].tolist(), rep[root[some]].tolist(), [0] * len(some)
+        yield node[some].tolist(), node[root[some]].tolist(), [0] * len(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -162,7 +182,7 @@ def _compared(cosine: float):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
-            for r in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "mine", "rep", "copies", "v", "others")), strict=True):
+            for r in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "mine", "node", "copies", "v", "others")), strict=True):
                 if held and held[0][:3] != r[:3]:
                     yield from done()
                     held = []
@@ -176,35 +196,38 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
     """``(vec_id long, n_links long, component_id long, kept boolean)`` for every row of ``embeddings``.
 
     ``n_links`` counts the other rows found at ``cosine`` or above (none below counts),
-    ``component_id`` is the smallest vec_id reachable over links, ``kept`` says it is the row's own.
-    Vectors that are null, empty or zero or hold null or non-finite parts link with nothing, nor do
-    vectors of different dimension.  Equal vectors are one row until the end, so copies cost nothing.
-    Rows that share a vec_id are one node of the graph but separate links.  A row with a null vec_id
-    has its links counted; its component is null unless it has copies with an id.  Other columns,
-    labels among them, are ignored; an empty table gives no rows.
+    ``component_id`` is the smallest vec_id (any long) reachable over links, ``kept`` says it is the
+    row's own.  Vectors that are null, empty or zero or hold null or non-finite parts link with
+    nothing, nor do vectors of different dimension; finite parts may be of any size.  Equal vectors are
+    one row until the end, so copies cost nothing.  Rows that share a vec_id separately link, and all
+    that is reachable from one of them or another by links alone is a component; a row with a null
+    vec_id has its links counted, never names a component (null if no row of it has an id) and isn't
+    kept.  Other columns, labels among them, are ignored, whatever their names; an empty table gives
+    no rows.  Vectors have one dimension's length, so no row is longer than its table's dimension.
 
     A filter's rows beyond ``most`` are dealt over pairs of parts, so no task gathers a hot filter.
     """
     spark: SparkSession = embeddings.sparkSession
     scratch = Scratch(spark, "caps")
     given = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
-    big = 1e300
-    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("v", lambda x: x != 0)
+    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     given = scratch.table(given.withColumn("good", F.coalesce(usable, F.lit(False))), "rows")
     classes = given.where("good").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    nodes = classes.where("rep is not null or copies > 0").select(F.coalesce("rep", F.xxhash64("v").bitwiseOR(F.lit(-(1 << 63)))).alias("rep"), "copies", "v")
-    listed = nodes.repartition("v").mapInArrow(_listed(blocks, code, deviations, least), "key long, rep long, copies long, v binary, others binary")
+    nodes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    listed = nodes.select("node", "copies", "v").repartition("node").mapInArrow(lean(_listed(blocks, code, deviations, least)), "key long, node long, copies long, v binary, others binary")
     listed = scratch.table(listed, "filters")
     hot = listed.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("long").alias("parts"))
-    dealt = listed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("rep"), "parts"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).select("key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "rep", "copies", "v", "others")
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(cosine), "a long, b long, n long")
+    dealt = listed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).select("key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", "copies", "v", "others")
+    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_compared(cosine, _narrow(blocks, code))), "a long, b long, n long")
     found = scratch.table(found, "found")
     scratch.drop("filters")
     roots = components(spark, found.where("b is not null").select("a", "b"), scratch)
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    about = nodes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    good = given.where("good").join(about, "v").select("vec_id", "n_links", F.when(F.col("root") >= 0, F.col("root")).otherwise(F.when(F.col("vec_id").isNull(), F.lit(None)).otherwise(F.col("root"))).alias("component_id"))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    about = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = about.groupBy("root").agg(F.min("rep").alias("component_id"))
+    about = about.join(named, "root").join(links, "node", "left")
+    about = scratch.table(about.select("v", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "about")
+    good = split_join(given.where("good"), about, "v", "copies").select("vec_id", "n_links", "component_id")
     rest = given.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(rest).select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return good.unionByName(rest).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
