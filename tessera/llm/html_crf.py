@@ -1,8 +1,10 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks, the stretches of text between block-level tags.  Each block has
-features of its ancestors (tags, tokens of class, id and role) and of its text; a two-label chain
-(main text or not) is trained by maximum likelihood on labelled pages and decoded by Viterbi.
+features of its ancestors (tags, tokens of class, id and role, their share of the page's prose), of
+its text and of its neighbours; a two-label chain (main text or not) is trained by maximum
+likelihood on labelled pages and decoded by Viterbi.  No name decides alone: the labelled pages name
+their main part after anything, or not at all.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import lean, small_batches
+
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another ends.
@@ -26,7 +30,7 @@ _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer f
 _SCOPE = frozenset("table ul ol dl select html body div article section nav aside footer header main form".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
@@ -36,6 +40,10 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _END = re.compile(r"[.!?…:;\"”»)]$")
+_STOP = re.compile(r"[.!?…](?:\s|$)")
+_DATE = re.compile(r"\d{4}|\d:\d\d")
+#: Elements that hold text rather than blocks.
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption label button option summary".split())
 
 
 class Block:
@@ -48,13 +56,13 @@ class Block:
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order: references decoded, white space runs one space.
 
-    ``path`` holds (tag, tokens) of the open elements.  Broken markup is read as it stands: what is
+    ``path`` holds (tag, tokens, number) of the open elements, numbers by their start.  Broken markup is read as it stands: what is
     left open stays open, an end tag without a start is skipped, an unended tag or comment runs on.
     """
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
     linked = in_link = 0
 
@@ -104,36 +112,60 @@ def blocks(page: str | None) -> list[Block]:
         if "=" in rest or "hidden" in rest:
             found = [t for x in _NAMED.findall(rest) for t in _SPLIT.split(" ".join(x)) if t]
             names = tuple(dict.fromkeys(t.lower() for t in found)) + (("hidden",) if _HIDDEN.search(rest) else ())
-        stack.append((tag, names))
+        stack.append((tag, names, m.start()))
     if at < len(page):
         parts.append(page[at:])
     flush()
     return out
 
 
+def _share(part: int, whole: int) -> int:
+    """0 to 4: none, under an eighth, under a third, under two thirds, more."""
+    return 0 if not part else 1 if 8 * part < whole else 2 if 3 * part < whole else 3 if 3 * part < 2 * whole else 4
+
+
 def features(page: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
-    out, n = [], len(page)
+    n = len(page)
+    words = [b.text.count(" ") + 1 for b in page]
+    linked = [round(3 * b.linked / len(b.text)) for b in page]
+    ends = [bool(_END.search(b.text)) for b in page]
+    prose = [w if w >= 8 and e and not k else 0 for w, k, e in zip(words, linked, ends, strict=True)]
+    total = sum(prose)
+    inside: dict[tuple, int] = {}  # prose words in an element, by its path
+    for b, w in zip(page, prose, strict=True):
+        if w:
+            for k in range(1, len(b.path) + 1):
+                inside[b.path[:k]] = inside.get(b.path[:k], 0) + w
     known: dict[tuple, list[str]] = {}
+    out = []
     for i, b in enumerate(page):
         above = known.get(b.path)
         if above is None:
-            tags = {t for t, _ in b.path}
-            tokens = {x for _, names in b.path for x in names}
-            known[b.path] = above = ["bias", f"parent={b.path[-1][0] if b.path else ''}", *(f"in={t}" for t in tags), *(f"token={x}" for x in tokens)]
-            if not tags & {"article", "main"} and not tokens & {"content", "article", "post", "main", "entry", "story"}:
-                above.append("outside")
+            named = [(t, names) for t, names, _ in b.path]
+            tags, tokens = {t for t, _ in named}, {x for _, names in named for x in names}
+            box = b.path[:-1] if b.path and b.path[-1][0] in _LEAVES else b.path
+            up = [_share(inside.get(box[: max(1, len(box) - k)], 0), total) for k in range(3)]
+            near = {x for _, names in named[-2:] for x in names}
+            known[b.path] = above = [
+                "bias", f"parent={named[-1][0] if named else ''}", f"box={box[-1][0] if box else ''}", *(f"in={t}" for t in tags), *(f"token={x}" for x in tokens), *(f"near={x}" for x in near),
+                *(f"prose{k}={v}" for k, v in enumerate(up)), f"depth={min(6, len(b.path))}", f"list={'li' in tags}",
+            ]
         t = b.text
-        words = t.count(" ") + 1
-        f = [*above, f"words={min(6, words.bit_length())}", f"linked={round(3 * b.linked / len(t))}"]
-        if _END.search(t):
-            f.append("ends")
+        size = min(6, words[i].bit_length())
+        f = [*above, f"words={size}", f"linked={linked[i]}", f"ends={ends[i]},{size > 3}", f"stops={min(3, len(_STOP.findall(t)))}", f"place={5 * i // n}"]
+        for name, k in (("before", i - 1), ("after", i + 1)):
+            if 0 <= k < n:
+                same = page[k].path == b.path or page[k].path[:-1] == b.path[:-1]
+                f += [f"{name}={min(6, words[k].bit_length())},{linked[k] > 1}", f"{name} parent={page[k].path[-1][0] if page[k].path else ''}", f"{name} prose={prose[k] > 0},{same}"]
+            else:
+                f.append(f"{name}=none")
         if "©" in t:
             f.append("copyright")
-        if i == 0:
-            f.append("first")
-        if i == n - 1:
-            f.append("last")
+        if len(t) < 40 and _DATE.search(t):
+            f.append("date")
+        if prose[i]:
+            f.append("prose")
         out.append(f)
     return out
 
@@ -178,18 +210,19 @@ def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 150, ra
         if n >= 3:
             index[x] = len(index)
     longest, count = max(len(y) for _, y in pages), len(pages)
-    x = np.zeros((count, longest, len(index)), np.float32)
     y, live = np.zeros((count, longest), int), np.zeros((count, longest), bool)
+    rows: list[list[int]] = []  # the known features of each block, one block after the other
     for p, (fs, labels) in enumerate(pages):
-        for k, f in enumerate(fs):
-            x[p, k, [index[v] for v in f if v in index]] = 1
-            y[p, k], live[p, k] = labels[k], True
+        rows += [[index[v] for v in f if v in index] for f in fs]
+        y[p, : len(labels)], live[p, : len(labels)] = labels, True
+    flat = np.fromiter((v for row in rows for v in row), np.int64)
+    edge = np.cumsum([0, *map(len, rows)])
+    of = np.repeat(np.arange(len(rows)), np.diff(edge))
     w, t = np.zeros(len(index)), np.zeros((2, 2))
     state = [np.zeros_like(v) for v in (w, w, t, t)]
-    flat = x.reshape(-1, len(index))
     for step in range(1, rounds + 1):
         unary = np.zeros((count, longest, 2))
-        unary[:, :, 1] = (flat @ w).reshape(count, longest)
+        unary[:, :, 1][live] = np.bincount(of, w[flat], len(rows))
         alpha, beta = np.zeros_like(unary), np.zeros_like(unary)
         alpha[:, 0] = unary[:, 0]
         for k in range(1, longest):
@@ -200,8 +233,7 @@ def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 150, ra
             beta[:, k] = np.where(live[:, k + 1, None], np.logaddexp(t[:, 0] + ahead[:, 0, None], t[:, 1] + ahead[:, 1, None]), 0)
         total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         main = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
-        error = np.where(live, y - main, 0)
-        gw = flat.T @ error.reshape(-1) / count - ridge * w / 10
+        gw = np.bincount(flat, (y - main)[live][of], len(index)) / count - ridge * w / 10
         pair = np.exp(alpha[:, :-1, :, None] + t + (unary + beta)[:, 1:, None, :] - total[:, None, None, None])
         pair[~live[:, 1:]] = 0
         gt = -pair.sum(axis=(0, 1))
@@ -215,7 +247,7 @@ def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 150, ra
 
 
 #: Names that pages give to their parts.
-MAIN_NAMES = "content article post entry story body text main page".split()
+MAIN_NAMES = "content article post entry story body text main page blog prose single".split()
 SIDE_NAMES = {
     "advert": "ad ads advert advertisement adsense sponsored sponsor banner promo promoted".split(),
     "notice": "cookie consent notice alert gdpr popup modal overlay warning disclaimer message".split(),
@@ -227,6 +259,9 @@ SIDE_NAMES = {
     "form": "form search login signup subscribe newsletter register contact feedback".split(),
     "share": "share social sharing follow tags meta buttons".split(),
 }
+#: Names that say nothing: of layout.
+LAYOUT_NAMES = "wrapper wrap container row col inner outer grid flex box block section group layout site app root td ss cell panel region".split()
+_SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wo xi yu".split()
 
 
 class Drawn:
@@ -236,23 +271,43 @@ class Drawn:
         self.r, self.out, self.labels = random.Random(seed), [], []
 
     def words(self, n: int) -> str:
-        return " ".join("".join(self.r.choice("ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wo xi yu".split()) for _ in range(self.r.randint(1, 3))) for _ in range(n))
+        return " ".join("".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 3))) for _ in range(n))
+
+    def prose(self, n: int) -> str:
+        """Sentences of some ten words, ``n`` words in all."""
+        out = []
+        while n > 0:
+            k = min(n, self.r.randint(5, 16))
+            out.append(self.words(k).capitalize() + self.r.choice([".", ".", ".", ".", ".", "?", "!", ".***", ".##"]))
+            n -= k
+        return " ".join(out)
 
     def leaf(self, tag: str, n: int, main: bool, link: bool = False, prose: bool = False) -> None:
-        text = self.words(n)
-        text = text.capitalize() + self.r.choice("..?!") if prose else text
+        text = self.prose(n) if prose else self.words(n)
         text = f"<b>{text}</b>" if self.r.random() < 0.05 else text
+        if main and prose and n > 12 and self.r.random() < 0.15:
+            text += f' <a href="/y">{self.words(2)}</a>.'
         self.out.append(f"<{tag}>" + (f'<a href="/x">{text}</a>' if link else text) + f"</{tag}>")
         self.labels.append(main)
 
+    def name(self, known: list[str], plain: float) -> str:
+        """An attribute of a name out of ``known``, or (share ``plain``) of one that says nothing, or none."""
+        r = self.r
+        if r.random() < plain:
+            word = r.choice(["", r.choice(LAYOUT_NAMES), f"{r.choice(LAYOUT_NAMES)}-{r.choice(LAYOUT_NAMES)}", f"col-{r.randint(1, 12)}", "".join(r.choice(_SYLLABLES) for _ in range(3))])
+        else:
+            word = r.choice(["", "", "site-", "page-", "main-", "post-", "article-"]) + r.choice(known) + r.choice(["", "", "-box", "-wrap", "s", "_1", "-area"])
+        return f' {r.choice(["class", "id", "class"])}="{word}"' if word else ""
+
     def side(self, kind: str) -> None:
         r = self.r
         tag = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}.get(kind, "div")
-        name = r.choice(SIDE_NAMES[kind])
-        plain = tag != "div" and r.random() < 0.4
-        tag = tag if plain or r.random() < 0.4 else r.choice(["div", "section", "ul"]) if kind == "menu" else r.choice(["div", "section"])
-        attr = "" if plain else f' {r.choice(["class", "id", "class"])}="{r.choice(["", "", "site-", "page-", "main-"])}{name}{r.choice(["", "", "-box", "-wrap", "s", "_1"])}"'
-        self.out.append(f"<{tag}{attr}>")
+        own = tag != "div" and r.random() < 0.6
+        tag = tag if own else r.choice(["div", "section", "ul"]) if kind == "menu" else r.choice(["div", "section"])
+        sure = kind in ("menu", "form", "footer", "share")  # what it holds tells it, too
+        self.out.append(f"<{tag}{self.name(SIDE_NAMES[kind], 0.5 if own else 0.25 if sure else 0.0)}>")
+        deep = r.randint(0, 2) if r.random() < 0.4 else 0
+        self.out += [f"<div{self.name(SIDE_NAMES[kind], 0.7)}>" for _ in range(deep)]
         if kind == "menu" or (kind in ("sidebar", "footer", "share") and r.random() < 0.5):
             self.out.append("<ul>")
             for _ in range(r.randint(2, 7)):
@@ -273,22 +328,28 @@ class Drawn:
                 self.leaf("label", r.randint(1, 3), False)
             self.leaf(r.choice(["button", "p"]), r.randint(1, 6), False)
         elif kind == "comments":
-            for _ in range(r.randint(1, 4)):
-                self.out.append(r.choice(["<div class=\"comment\">", "<div>", "<li>"]))
-                self.leaf(r.choice(["h4", "div"]), 2, False)
-                self.leaf("p", r.randint(3, 45), False, prose=True)
-                self.out.append("</div>")
+            for _ in range(r.randint(1, 5)):
+                end = r.choice(["div", "div", "li"])
+                self.out.append(f"<{end}{r.choice([' class=comment', '', ''])}>")
+                self.leaf(r.choice(["h4", "div", "span"]), 2, False) if r.random() < 0.8 else None
+                for _ in range(r.choice([1, 1, 1, 2])):
+                    self.leaf("p", r.randint(2, 45), False, prose=True)
+                self.out.append(f"</{end}>")
         else:
             self.leaf(r.choice(["h1", "h3", "h4"]), r.randint(1, 5), False, link=r.random() < 0.3)
             for _ in range(r.randint(0, 3)):
                 self.leaf("p", r.randint(2, 25), False, link=r.random() < 0.4, prose=r.random() < 0.6)
+        self.out += ["</div>"] * deep
         self.out.append(f"</{tag}>")
 
     def main(self) -> None:
         r = self.r
-        tag = r.choice(["article", "article", "main", "div", "section"])
-        attr = f' {r.choice(["class", "id"])}="{r.choice(["", "post-", "main-", "article-"])}{r.choice(MAIN_NAMES)}"' if tag in ("div", "section") or r.random() < 0.3 else ""
-        self.out.append(f"<{tag}{attr}>")
+        tag = r.choice(["article", "article", "main", "div", "div", "section", "td"])
+        said = r.random()
+        names = SIDE_NAMES[r.choice(["sidebar", "header"])] if tag in ("article", "main") and said < 0.15 else MAIN_NAMES
+        self.out.append(("<table><tr>" if tag == "td" else "") + f"<{tag}{self.name(names, 0.6)}>")
+        deep = r.randint(0, 2) if r.random() < 0.4 else 0
+        self.out += [f"<div{self.name(MAIN_NAMES, 0.8)}>" for _ in range(deep)]
         if r.random() < 0.85:
             self.leaf(r.choice(["h1", "h1", "h2"]), r.randint(2, 14), True, prose=r.random() < 0.4)
         for _ in range(r.randint(1, 12)):
@@ -298,8 +359,11 @@ class Drawn:
             elif x < 0.8:
                 self.leaf(r.choice(["h2", "h3"]), r.randint(1, 6), True)
             elif x < 0.86:
-                self.leaf(r.choice(["blockquote", "pre", "td", "figcaption"]), r.randint(3, 30), True, prose=True)
-            elif x < 0.92:
+                self.leaf(r.choice(["blockquote", "pre", "figcaption", "div"]), r.randint(3, 30), True, prose=True)
+            elif x < 0.88:
+                self.out.append(f"<p>{self.words(2).capitalize()}.*** {self.words(1)}.&&&</p>" * 2)  # a line of signs, twice
+                self.labels += [True, True]
+            elif x < 0.93:
                 self.out.append("<ul>")
                 for _ in range(r.randint(2, 4)):
                     self.leaf("li", r.randint(2, 18), True, prose=r.random() < 0.6)
@@ -308,24 +372,28 @@ class Drawn:
                 self.side(r.choice(["advert", "share", "sidebar", "form", "notice", "comments"]))
         if r.random() < 0.15:
             self.side("comments")
-        self.out.append(f"</{tag}>")
+        self.out += ["</div>"] * deep
+        self.out.append(f"</{tag}>" + ("</tr></table>" if tag == "td" else ""))
 
     def page(self) -> tuple[str, list[bool]]:
         r = self.r
         self.out.append("<!DOCTYPE html><html><head>")
         self.leaf("title", r.randint(2, 10), False)
         self.out.append("<script>var a='<p>';</script></head><body>")
+        deep = r.randint(0, 2) if r.random() < 0.5 else 0
+        self.out += [f"<div{self.name(MAIN_NAMES, 0.8)}>" for _ in range(deep)]
         for kind in r.sample(["menu", "header", "notice", "advert", "menu", "form"], r.randint(0, 4)):
             self.side(kind)
         if r.random() < 0.97:
             self.main()
         for kind in r.sample(["comments", "sidebar", "footer", "advert", "share", "footer", "form", "notice"], r.randint(0, 4)):
             self.side(kind)
+        self.out += ["</div>"] * deep
         self.out.append("</body></html>")
         return "".join(self.out), self.labels
 
 
-def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[list[list[str]], list[bool]]]:
+def labelled_pages(n: int = 1200, seed: int = 5) -> list[tuple[list[list[str]], list[bool]]]:
     """Features and labels of ``n`` invented pages; their layouts and names are drawn, their words mean nothing."""
     out = []
     for k in range(n):
@@ -356,10 +424,14 @@ def extract(pages: DataFrame, html_column: str = "html", keep: list[str] | None
 
     Returns the columns in ``keep`` (all but the markup and clashing ones by default), then ``text
     string`` (main blocks joined by one newline, empty if none) and ``n_chars long`` (code points).
-    Null and empty markup have no text.  Repeated rows are read alike; no page depends on another.
+    Null and empty markup have no text; very long pages are read whole.  Of labels that are as likely
+    a block isn't main text.  Repeated rows are read alike; no page depends on another.  A kept column
+    called ``text`` or ``n_chars`` must be renamed by the caller; other columns are ignored.  An empty
+    table gives no rows.
     """
     spark: SparkSession = pages.sparkSession
     keep = [c for c in pages.columns if c not in {html_column, "text", "n_chars"}] if keep is None else keep
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(pickle.dumps(chain or default_chain()))
     frame = pages.select(F.col(html_column).alias("h"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in frame.schema[1:]]
@@ -370,5 +442,5 @@ def extract(pages: DataFrame, html_column: str = "html", keep: list[str] | None
             texts = [main_text(c.as_py(), model) for c in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 
-    made = frame.mapInArrow(run, ", ".join([*kept, "text string, n_chars long"]))
+    made = frame.mapInArrow(lean(run), ", ".join([*kept, "text string, n_chars long"]))
     return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", "n_chars")
