@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, lean, split_join
 
 
 
@@ -229,7 +229,7 @@ def document_frequencies(files: DataFrame, text: str, templates: dict[str, list[
                     sums.update(vocabulary.intersection(terms(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["t", "n"])
 
-    got = {r.t: r.n for r in files.select(text).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    got = {r.t: r.n for r in files.select(text).mapInArrow(lean(run), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     return got, got.pop("", 0)
 
 
@@ -244,8 +244,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
 
     A license file has a name that says so and a stated license, or a text that as a whole reaches
     ``whole``.  If a directory has several, the greatest score, then the first name and path, holds.
-    Null and empty texts state nothing.  A null path belongs to no directory and inherits nothing.
-    Repeated rows are judged alike.  Other columns are ignored; an empty table gives no rows.
+    Null and empty texts state nothing; very long ones are read whole.  A null path belongs to no
+    directory and inherits nothing.  Of templates with the same cosine the first by name counts.
+    Repeated rows are judged alike.  Columns that aren't kept are ignored, whatever their names (a
+    kept one that is called as a result must be renamed by the caller); an empty table gives no rows.
     """
     spark: SparkSession = files.sparkSession
     scratch = Scratch(spark, "licenses")
@@ -271,7 +273,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
                 is_file.append(full is not None or (named and best is not None))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(is_file, pa.bool_()), *batch.columns[2:]], ["_p", "s", "c", "f", *batch.schema.names[2:]])
 
-    judged = scratch.table(frame.mapInArrow(run, ", ".join(["_p string, s string, c double, f boolean", *kept])), "judged")
+    judged = scratch.table(frame.mapInArrow(lean(run), ", ".join(["_p string, s string, c double, f boolean", *kept])), "judged")
     depth = F.size(F.split("_p", "/")) - 1
     directory = lambda k: F.array_join(F.slice(F.split("_p", "/"), 1, k), "/")
     holders = judged.where("f and _p is not null").select(directory(depth).alias("dir"), F.struct((-F.col("c")).alias("c"), "s", "_p").alias("best")).groupBy("dir").agg(F.min("best").alias("best"))
@@ -281,5 +283,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     parts = F.split("at", "/")
     up = here.select("at", F.explode(F.sequence(F.lit(0), F.when(F.col("at") == "", 0).otherwise(F.size(parts)))).alias("k")).select("at", "k", F.when(F.col("k") == 0, "").otherwise(F.array_join(F.slice(parts, 1, F.col("k")), "/")).alias("dir"))
     nearest = up.join(holders, "dir").groupBy("at").agg(F.max_by(F.struct("license", "dir"), "k").alias("from"))
-    out = judged.withColumn("at", directory(depth)).join(nearest, "at", "left")
+    # the directories of files are counted, so that what a hot one inherits is brought to its files
+    held = judged.withColumn("at", directory(depth))
+    known = scratch.table(held.where("at is not null").groupBy("at").agg(F.count("*").alias("n")).join(nearest, "at", "left"), "known")
+    out = split_join(held.where("at is not null"), known, "at", "n").drop("n").unionByName(held.where("at is null").withColumn("from", F.lit(None).cast(known.schema["from"].dataType)))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("s").alias("stated"), F.col("c").alias("stated_score"), F.col("f").alias("is_license_file"), F.col("from.license").alias("inherited"), F.col("from.dir").alias("inherited_from"), F.coalesce("s", F.col("from.license")).alias("license"))
