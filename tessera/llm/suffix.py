@@ -4,7 +4,7 @@ The unit is a *window*: ``length`` bytes at one position.  A window is repeated
 a smaller id holds the same bytes anywhere.  Three steps find all of them exactly:
 
 1. Content-defined chunks.  A chunk's windows all repeat if the chunk with the ``length - 1`` bytes
-   after it occurs in an earlier document; one aggregation by 128-bit digest finds these.
+   after it occurs in an earlier document.  Digests choose the candidates; their bytes decide.
 2. Anchors.  Each other window selects its smallest hashed ``gram``-byte string, so equal windows
    select equal anchors, whatever stands around them.  Only windows whose anchor occurs in a second
    document can repeat; sorting anchors by hash leaves few.
@@ -12,14 +12,18 @@ a smaller id holds the same bytes anywhere.  Three steps find all of them exactl
    comparison finding the common extension by binary search over prefix polynomial hashes (so its
    cost is logarithmic in the length); equal hashes are verified on the bytes.  Neighbours that
    share ``length`` bytes form a class, whose smallest document keeps its window.
+
+Of what is the same, byte for byte, only one row of each batch goes on (the smallest document's; the
+others repeat it), so copies are settled where they lie.  Anchors that many rows still share are
+dealt out window by window, so no task gathers one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,19 +39,32 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LAST = (1 << 63) - 1
 #: Bytes of contexts that are sorted at once.
 SORT_BYTES = 1 << 19
+#: Texts are hashed in slices of so many bytes.
+SLICE = 1 << 16
+#: Anchors are counted in so many buckets; one with more rows than HOT_ROWS and four times the mean is dealt by window.
+BUCKETS, HOT_ROWS = 1 << 20, 2048
 
 
 def _powers(n: int, base: int) -> np.ndarray:
+    if n <= 1 << 15:
+        return _small_powers(base)[:n]
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+@lru_cache(2)
+def _small_powers(base: int) -> np.ndarray:
+    """The first 2^15 powers, 256 kB."""
+    out = np.full(1 << 15, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """``out[i]`` = sum of (byte j + 1) * BASE^j for j < i, modulo 2^64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    size = 1 << max(10, int(len(data)).bit_length())
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size, int(BASE))[: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data), int(BASE)), out=out[1:])
     return out
 
 
@@ -57,12 +74,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n`` bytes at each position, from prefix hashes."""
+    """Hash of the ``n`` bytes at each position, from prefix hashes; the same wherever the bytes stand."""
     if len(data) < n:
         return np.empty(0, np.uint64)
     p = prefix_hashes(data)
-    size = 1 << max(10, int(len(data)).bit_length())
-    return _mixed((p[n:] - p[:-n]) * _powers(size, int(INVERSE))[: len(data) - n + 1])
+    return _mixed((p[n:] - p[:-n]) * _powers(len(data) - n + 1, int(INVERSE)))
 
 
 def chunk_bounds(data: np.ndarray, length: int = LENGTH, mean: int = CHUNK) -> np.ndarray:
@@ -70,8 +86,9 @@ def chunk_bounds(data: np.ndarray, length: int = LENGTH, mean: int = CHUNK) -> n
     n = len(data) - length + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    low = np.flatnonzero(gram_hashes(data, 16)[1:n] < np.uint64((1 << 64) // mean)) + 1
-    return np.concatenate(([0], low, [n]))
+    low = [at + np.flatnonzero(gram_hashes(data[at : min(n, at + SLICE) + 15], 16) < np.uint64((1 << 64) // mean)) for at in range(0, n, SLICE)]
+    low = np.concatenate(low)
+    return np.concatenate(([0], low[(low > 0) & (low < n)], [n]))
 
 
 def smallest_in(h: np.ndarray, width: int) -> np.ndarray:
@@ -86,18 +103,29 @@ def smallest_in(h: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def anchors(data: np.ndarray, skip: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, position, first and last+1 window start of each run of windows that select one anchor; windows in ``skip`` are left out."""
-    h = gram_hashes(data, gram)
-    if len(data) < length:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    at = smallest_in(h, length - gram + 1)
-    at = np.where(skip[: len(at)], -1, at)
-    edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
-    first, stop = edge[:-1], edge[1:]
-    keep = at[first] >= 0
-    first, stop = first[keep], stop[keep]
-    return h[at[first]], at[first], first, stop
+def anchors(data: np.ndarray, skip: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last+1 window start of each run of windows that select one anchor; windows in the spans ``skip`` are left out.
+
+    A run ends at the edge of a slice, too.
+    """
+    found = [[np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+    skip, k = sorted(skip), 0
+    for begin in range(0, len(data) - length + 1, SLICE):
+        part = data[begin : begin + SLICE + length - 1]
+        h = gram_hashes(part, gram)
+        at = smallest_in(h, length - gram + 1)
+        while k < len(skip) and skip[k][0] < begin + len(at):
+            at[max(0, skip[k][0] - begin) : max(0, skip[k][1] - begin)] = -1
+            if skip[k][1] > begin + len(at):
+                break
+            k += 1
+        edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+        first, stop = edge[:-1], edge[1:]
+        keep = at[first] >= 0
+        first, stop = first[keep], stop[keep]
+        for x, y in zip(found, (h[at[first]], first + begin, stop + begin), strict=True):
+            x.append(y)
+    return tuple(map(np.concatenate, found))
 
 
 class Extensions:
@@ -105,7 +133,7 @@ class Extensions:
 
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length, self.prefix = data, length, prefix_hashes(data)
-        self.powers = _powers(1 << max(10, int(len(data)).bit_length()), int(BASE))
+        self.powers = _powers(len(data), int(BASE))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes, at most ``length``, that the suffixes at ``a`` and ``b`` share."""
@@ -171,28 +199,21 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.nd
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows at ``starts`` equal, within their group, a window of a smaller ``doc``.
 
-    The windows must lie in ``data``.  Windows of a group with one hash are a bundle; its smallest
-    document's window stands for those whose bytes are the same (collisions stand for themselves).
-    What stands for more than one document is suffix-sorted, and neighbours that share ``length``
-    bytes, verified on the bytes, are one class.
+    The windows must lie in ``data``, and ``group`` is ascending.  Those whose hash no second
+    document of their group has are left out; the rest are suffix-sorted, and neighbours that share
+    ``length`` bytes, verified on the bytes, are one class.
     """
     out = np.zeros(len(starts), bool)
     if not len(starts):
         return out
     ext = Extensions(data, length)
-    inverse = _powers(1 << max(10, int(len(data)).bit_length()), int(INVERSE))
-    h = (ext.prefix[starts + length] - ext.prefix[starts]) * inverse[starts]
+    h = (ext.prefix[starts + length] - ext.prefix[starts]) * _powers(len(data), int(INVERSE))[starts]
     by = np.lexsort((doc, h, group))
     first = np.flatnonzero(np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (group[by][1:] != group[by][:-1]))))
     size = np.diff(np.append(first, len(by)))
-    some = doc[by[first + size - 1]] > doc[by[first]]
-    first, size = first[some], size[some]
-    member = by[np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-    stand = np.repeat(by[first], size)
-    apart = ~_equal(data, starts[stand], starts[member], length)
-    stand[apart] = member[apart]
-    some = np.unique(stand)
-    some = some[np.argsort(group[some], kind="stable")]
+    some = np.zeros(len(starts), bool)
+    some[by] = np.repeat(doc[by[first + size - 1]] > doc[by[first]], size)
+    some = np.flatnonzero(some)
     if not len(some):
         return out
     order = some[suffix_sort(ext, starts[some], group[some])]
@@ -202,9 +223,7 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, doc: np.nd
     check = np.flatnonzero(joined)
     joined[check] = _equal(data, starts[a[check]], starts[b[check]], length)
     edge = np.concatenate(([0], np.flatnonzero(~joined) + 1))
-    least = np.empty(len(starts), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
-    out[member] = doc[member] > least[stand]
+    out[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
     return out
 
 
@@ -231,29 +250,74 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def _chunks(length: int):
-    """Rows (doc, rid, text) to (h1, h2, doc, rid, from, to), a row for each chunk."""
+def _chunks(length: int, digest=xxhash.xxh3_128_digest):
+    """Rows (doc, rid, text) to (h1, h2, doc, rid, from, to), a row for each chunk.
+
+    Chunks that equal, byte for byte, one of a smaller document of the batch are known to repeat:
+    they have no digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, docs, rids, spans = [], [], [], []
+            digests, docs, rids, spans, raws = [], [], [], [], []
             for doc, rid, cell in zip(batch["doc"].to_pylist(), batch["rid"].to_pylist(), batch["text"], strict=True):
                 data = _bytes(cell)
                 edge = chunk_bounds(data, length)
                 if not len(edge):
                     continue
                 raw = memoryview(data)
-                digests += [xxhash.xxh3_128_digest(raw[a : b + length - 1]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                digests += [digest(raw[a : b + length - 1]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 docs.append(np.full(len(edge) - 1, doc))
                 rids.append(np.full(len(edge) - 1, rid))
+                raws += [raw] * (len(edge) - 1)
                 spans.append(np.stack([edge[:-1], edge[1:]], axis=1))
-            if digests:
-                h, s = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), np.concatenate(spans).astype(np.int32)
-                yield _batch(["h1", "h2", "doc", "rid", "from", "to"], h[:, 0].copy(), h[:, 1].copy(), np.concatenate(docs), np.concatenate(rids), s[:, 0].copy(), s[:, 1].copy())
+            if not digests:
+                continue
+            h, s, doc = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), np.concatenate(spans), np.concatenate(docs)
+            by = np.lexsort((doc, h[:, 1], h[:, 0]))
+            new = np.concatenate(([True], (h[by][1:] != h[by][:-1]).any(axis=1)))
+            lead = np.empty(len(by), np.int64)
+            lead[by] = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            known = np.zeros(len(by), bool)
+            for i in np.flatnonzero(doc > doc[lead]).tolist():
+                (a, b), (c, d), j = s[i].tolist(), s[lead[i]].tolist(), int(lead[i])
+                known[i] = b - a == d - c and raws[i][a : b + length - 1] == raws[j][c : d + length - 1]
+            s = s.astype(np.int32)
+            yield _batch(["h1", "h2", "doc", "rid", "from", "to"], pa.array(h[:, 0], mask=known), pa.array(h[:, 1], mask=known), doc, np.concatenate(rids), s[:, 0].copy(), s[:, 1].copy())
 
     return run
 
 
+def _chunk_bytes(length: int):
+    """Rows (doc, rid, text, same) to (h1, h2, doc, rid, from, to, bytes): the bytes of chunks whose digests meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, rid, cell, same in zip(batch["doc"].to_pylist(), batch["rid"].to_pylist(), batch["text"], batch["same"], strict=True):
+                raw = memoryview(_bytes(cell))
+                rows += [(x["h1"], x["h2"], doc, rid, x["from"], x["to"], bytes(raw[x["from"] : x["to"] + length - 1])) for x in same.as_py()]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield _batch(["h1", "h2", "doc", "rid", "from", "to", "bytes"], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (h1, h2, doc) those whose bytes a smaller document of the same digest has."""
+    digest, least = None, {}
+    for batch in batches:
+        out = []
+        for h1, h2, doc, rid, first, stop, raw in zip(*(batch[c].to_pylist() for c in ("h1", "h2", "doc", "rid", "from", "to", "bytes")), strict=True):
+            if (h1, h2) != digest:
+                digest, least = (h1, h2), {}
+            if least.setdefault(raw, doc) < doc:
+                out.append((rid, first, stop))
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        yield _batch(["rid", "from", "to"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)])
+
+
 def _packed(df: DataFrame, name: str) -> DataFrame:
     """Rows (rid, from, to) as (rid, name): merged pairs, packed; their number is bounded by one document's length."""
 
@@ -269,13 +333,19 @@ def _packed(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("s")).mapInArrow(lean(run), f"rid long, {name} binary")
 
 
+def _bits(length: int, gram: int) -> int:
+    """Bits for the number of windows of a run: those that one anchor lies in, at most."""
+    return (length - gram + 1).bit_length()
+
+
 def _anchors(length: int, gram: int):
-    """Rows (rid, text, dups) to (key, rid, run, h): a row for each anchor run, ``run`` its first window and their number (at most 63), packed.
+    """Rows (rid, text, dups) to (key, rid, run, h): a row for each anchor run, ``run`` its first window and their number, packed.
 
     ``h`` is set for runs whose anchor another row of the same batch holds: those are known to be
     shared.  Of each such anchor only two rows' runs go on under the anchor's own key (``h`` null), so
     an anchor that a third of the documents share isn't gathered in one task.
     """
+    bits = _bits(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,11 +354,8 @@ def _anchors(length: int, gram: int):
                 data = _bytes(cell)
                 if len(data) < length:
                     continue
-                skip = np.zeros(len(data) + 2, bool)
-                for a, b in _runs(dup).tolist():
-                    skip[a:b] = True
-                h, _, first, stop = anchors(data, skip, length, gram)
-                parts.append([h.view(np.int64), np.full(len(h), rid), first << 6 | stop - first])
+                h, first, stop = anchors(data, _runs(dup).tolist(), length, gram)
+                parts.append([h.view(np.int64), np.full(len(h), rid), first << bits | stop - first])
             if not parts:
                 continue
             h, rid, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -339,83 +406,122 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.filter(pa.array(take))
 
 
-def _contexts(length: int):
-    """Rows (doc, rid, text, wanted) to (h, doc, rid, at, bytes): the bytes of each wanted run of windows."""
+def _contexts(length: int, gram: int, hot):
+    """Rows (doc, rid, text, wanted) to (h, doc, rid, from, to, bytes): the bytes of each wanted run of windows.
+
+    Runs that equal, byte for byte, one of a smaller document of the batch are known to repeat:
+    they have no bytes and any ``h``.  A run whose anchor is in the buckets ``hot`` (a broadcast) is
+    a row for each of its windows, and ``h`` is of the window.
+    """
+    bits = _bits(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_hot = np.zeros(BUCKETS, bool)
+        is_hot[hot.value] = True
+        some = bool(is_hot.any())
         for batch in batches:
-            h, docs, rids, at, out = [], [], [], [], []
+            h, docs, rids, at, stop, out = [], [], [], [], [], []
+            seen: dict[bytes, int] = {}
+
+            def add(key: int, doc: int, rid: int, first: int, n: int, text: bytes) -> None:
+                i = seen.setdefault(text, len(h))
+                h.append(key)
+                docs.append(doc)
+                rids.append(rid)
+                at.append(first)
+                stop.append(first + n)
+                out.append(text)
+                if i < len(h) - 1 and docs[i] != doc:
+                    if docs[i] > doc:
+                        seen[text] = len(h) - 1
+                    else:
+                        i = len(h) - 1
+                    out[i] = None
+                    h[i] = rids[i] * 1_000_003 + at[i] & LAST
+
             for doc, rid, cell, want in zip(batch["doc"].to_pylist(), batch["rid"].to_pylist(), batch["text"], batch["wanted"], strict=True):
                 raw = memoryview(_bytes(cell))
-                for w in want.as_py():
-                    first, n = w["run"] >> 6, w["run"] & 63
-                    h.append(w["h"])
-                    docs.append(doc)
-                    rids.append(rid)
-                    at.append(first)
-                    out.append(bytes(raw[first : first + n + length - 1]))
-            yield _batch(["h", "doc", "rid", "at", "bytes"], pa.array(h, pa.int64()), pa.array(docs, pa.int64()), pa.array(rids, pa.int64()), pa.array(at, pa.int32()), pa.array(out, pa.binary()))
+                runs, keys = (want.values.field(k).to_numpy() for k in ("run", "h"))
+                dealt = is_hot[keys & BUCKETS - 1].tolist() if some else [False] * len(keys)
+                for first, n, key, apart in zip((runs >> bits).tolist(), (runs & (1 << bits) - 1).tolist(), keys.tolist(), dealt, strict=True):
+                    if apart:
+                        for i in range(first, first + n):
+                            window = bytes(raw[i : i + length])
+                            add(xxhash.xxh3_64_intdigest(window) >> 1, doc, rid, i, 1, window)
+                    else:
+                        add(key, doc, rid, first, n, bytes(raw[first : first + n + length - 1]))
+            yield _batch(["h", "doc", "rid", "from", "to", "bytes"], pa.array(h, pa.int64()), pa.array(docs, pa.int64()), pa.array(rids, pa.int64()), pa.array(at, pa.int32()), pa.array(stop, pa.int32()), pa.array(out, pa.binary()))
 
     return run
 
 
 def _sorted_hits(length: int):
-    """Rows (h, doc, rid, at, bytes) sorted by (h, doc) to the repeated runs (rid, from, to).
+    """Rows (h, doc, rid, from, to, bytes) sorted by (h, doc) to the repeated runs (rid, from, to); rows without bytes are known to be such.
 
-    Whole anchors are sorted together, about SORT_BYTES at a time.  An anchor with more bytes is
-    sorted in parts, smallest documents first; what goes on to the next part is one copy of each
-    distinct window so far.
+    Whole anchors are sorted together, about SORT_BYTES at a time.  A run that equals an earlier one
+    byte for byte repeats as a whole, if its document is larger, or shares the fate of it; the others
+    are suffix-sorted.
     """
 
-    def hits(h, doc, rid, at, texts) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"".join(texts) + bytes(length), np.uint8)
-        begin = np.cumsum(size) - size
-        per = size - length + 1
-        row = np.repeat(np.arange(len(texts)), per)
+    def hits(rows: list[tuple]) -> Iterator[tuple[list, list, list]]:
+        lead: dict[bytes, int] = {}
+        same = [lead.setdefault(r[5], i) for i, r in enumerate(rows)]
+        whole = [r for r, i in zip(rows, same, strict=True) if r[1] > rows[i][1]]
+        if whole:
+            yield [r[2] for r in whole], [r[3] for r in whole], [r[4] for r in whole]
+        own = [i for i in range(len(rows)) if same[i] == i]
+        h = np.array([rows[i][0] for i in own])
+        edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(edge, len(h)))
+        several = np.flatnonzero(np.repeat(size > 1, size)).tolist()
+        if not several:
+            return
+        own = [own[k] for k in several]
+        texts = [rows[i][5] for i in own]
+        per = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
+        begin = np.cumsum(per + length - 1) - (per + length - 1)
+        row = np.repeat(np.arange(len(own)), per)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+        h, doc, first = (np.array([rows[i][k] for i in own], np.int64) for k in (0, 1, 3))
         group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
-        hit = repeated(data, begin[row] + shift, group[row], doc[row], length)
-        pos = at[row] + shift
+        hit = repeated(np.frombuffer(b"".join(texts) + bytes(length), np.uint8), begin[row] + shift, group[row], doc[row], length)
         i = np.flatnonzero(hit)
-        runs = np.flatnonzero(np.concatenate(([True], (row[i][1:] != row[i][:-1]) | (pos[i][1:] != pos[i][:-1] + 1)))) if len(i) else i
-        stop = np.append(runs[1:] - 1, len(i) - 1) if len(i) else i
-        own = rid[row[i[runs]]] >= 0  # windows carried over from an earlier part have no row of their own
-        found = _batch(["rid", "from", "to"], rid[row[i[runs]]][own], pos[i[runs]][own].astype(np.int32), (pos[i[stop]] + 1)[own].astype(np.int32))
-        return found, row, shift, hit
+        if not len(i):
+            return
+        new = np.concatenate(([True], (row[i][1:] != row[i][:-1]) | (shift[i][1:] != shift[i][:-1] + 1)))
+        a, b = i[new], i[np.append(np.flatnonzero(new)[1:] - 1, len(i) - 1)]
+        place = {x: k for k, x in enumerate(own)}
+        yield [rows[own[k]][2] for k in row[a].tolist()], (first[row[a]] + shift[a]).tolist(), (first[row[b]] + shift[b] + 1).tolist()
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for k, x, y in zip(row[a].tolist(), shift[a].tolist(), (shift[b] + 1).tolist(), strict=True):
+            spans.setdefault(k, []).append((x, y))
+        alike = [(r[2], r[3] + x, r[3] + y) for n, r in enumerate(rows) if same[n] != n and r[1] == rows[same[n]][1] for x, y in spans.get(place.get(same[n], -1), ())]
+        if alike:
+            yield tuple(map(list, zip(*alike, strict=True)))
+
+    def batch_of(columns) -> pa.RecordBatch:
+        return _batch(["rid", "from", "to"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
+        held: list[tuple] = []
         total = 0
-
-        def columns(rows):
-            h, doc, rid, at = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            return h, doc, rid, at, [r[4] for r in rows]
-
         for batch in batches:
-            for r in zip(*(batch[c].to_pylist() for c in ("h", "doc", "rid", "at", "bytes")), strict=True):
-                if total > SORT_BYTES:
-                    if kept[-1][0] != r[0]:
-                        yield hits(*columns(kept))[0]
-                        kept, total = [], 0
-                    elif kept[-1][1] != r[1]:  # one anchor alone is larger: between its documents, keep its distinct windows only
-                        found, row, shift, hit = hits(*columns(kept))
-                        yield found
-                        mine = [i for i in np.flatnonzero(~hit) if kept[row[i]][0] == r[0]]
-                        windows: dict[bytes, int] = {}
-                        for i in mine:
-                            windows.setdefault(kept[row[i]][4][shift[i] : shift[i] + length], kept[row[i]][1])
-                        kept = [(r[0], d, -1, 0, w) for w, d in windows.items()]
-                        total = -len(kept) * length
-                kept.append(r)
-                total += len(r[4])
-        if kept:
-            yield hits(*columns(kept))[0]
+            known = batch.filter(batch["bytes"].is_null())
+            yield _batch(["rid", "from", "to"], known["rid"], known["from"], known["to"])
+            rest = batch.filter(batch["bytes"].is_valid())
+            for r in zip(*(rest[c].to_pylist() for c in ("h", "doc", "rid", "from", "to", "bytes")), strict=True):
+                if total > SORT_BYTES and held[-1][0] != r[0]:
+                    yield from map(batch_of, hits(held))
+                    held, total = [], 0
+                held.append(r)
+                total += len(r[5])
+        if held:
+            yield from map(batch_of, hits(held))
 
     return run
 
 
-def _removed(length: int):
+def _removed(length: int, as_text: bool):
     """Rows (doc columns, text, dups, hits) to the text that is left, and the removed byte spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,39 +533,52 @@ def _removed(length: int):
                 mask = np.ones(len(data), bool)
                 for a, b in spans.tolist():
                     mask[a:b] = False
-                left.append(data[mask].tobytes())
+                left.append(data[mask].tobytes().decode("utf-8", "ignore") if as_text else data[mask].tobytes())
                 removed.append([{"from": a, "to": b} for a, b in spans.tolist()])
                 sizes.append(len(data))
             span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield _batch(["rid", "n_bytes", "kept", "spans"], batch["rid"], pa.array(sizes, pa.int64()), pa.array(left, pa.binary()), pa.array(removed, span))
+            yield _batch(["rid", "n_bytes", "kept", "spans"], batch["rid"], pa.array(sizes, pa.int64()), pa.array(left, pa.string() if as_text else pa.binary()), pa.array(removed, span))
 
     return run
 
 
-def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, hot_rows: int = HOT_ROWS, digest=xxhash.xxh3_128_digest, as_text: bool = False) -> DataFrame:
     """Remove from each text the bytes that ``length``-byte strings of earlier documents cover.
 
     Texts are UTF-8 bytes; matches don't cross documents; strings are judged on the input.  Returns
     the columns in ``keep`` (the id by default), then ``n_bytes long``, ``kept binary`` (the
-    remaining bytes, which may not be whole characters) and ``spans`` (removed runs [from, to)).
+    remaining bytes, which may not be whole characters; with ``as_text`` a string, in which of a
+    character that is only in part removed nothing stays) and ``spans`` (removed runs [from, to)).
 
-    A null text is empty.  Texts shorter than ``length`` keep everything.  Rows with the same id are
-    one document: they don't remove from each other.  Rows with a null id come after all others.
-    Columns that aren't kept are ignored; an empty table gives no rows.
+    A null text is empty.  Texts shorter than ``length`` keep everything.  Very long texts are hashed
+    in slices.  Rows with the same id are one document: they don't remove from each other, so repeated
+    rows lose the same bytes.  Rows with a null id come after all others and are one document.  Of
+    documents that share a string the smallest id's keeps it; there are no other ties.  Columns that
+    aren't kept are ignored, whatever their names; kept ones come first, so a kept column called
+    ``n_bytes``, ``kept`` or ``spans`` must be renamed by the caller.  An empty table gives no rows.
+    (Where an id is 2^63 - 1, ids are lowered by one to tell it from null; -2^63 then counts as -2^63 + 1.)
 
     The texts are written once, bucketed by row, so that each later step moves only digests, anchors
     or spans to them.
     """
+    if not 0 < gram <= length:
+        raise ValueError("an anchor lies inside a window")
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "suffix")
     keep = [doc_id] if keep is None else keep
-    base = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).cast("binary").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    number = F.col(doc_id).cast("long")
+    if documents.where(number == LAST).limit(1).count():
+        number = F.when(number >= 1 - LAST, number - 1).otherwise(number)
+    base = documents.select(F.coalesce(number, F.lit(LAST)).alias("doc"), F.col(text).cast("binary").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     base = scratch.bucketed(base.withColumn("rid", F.monotonically_increasing_id()), "texts", "rid")
     texts = base.select("doc", "rid", "text")
 
-    chunks = scratch.table(texts.mapInArrow(lean(_chunks(length)), "h1 long, h2 long, doc long, rid long, from int, to int"), "chunks")
-    earliest = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2", "least")
-    dups = scratch.table(_packed(chunks.join(earliest, ["h1", "h2"]).where("doc > least").select("rid", "from", "to"), "dups"), "dups")
+    chunks = scratch.table(texts.mapInArrow(lean(_chunks(length, digest)), "h1 long, h2 long, doc long, rid long, from int, to int"), "chunks")
+    met = chunks.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2")
+    same = chunks.join(met, ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("h1", "h2", "from", "to")).alias("same"))
+    same = texts.join(same.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "same").mapInArrow(lean(_chunk_bytes(length)), "h1 long, h2 long, doc long, rid long, from int, to int, bytes binary")
+    same = same.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(lean(_verified), "rid long, from int, to int")
+    dups = scratch.table(_packed(chunks.where("h1 is null").select("rid", "from", "to").unionByName(same), "dups"), "dups")
     scratch.drop("chunks")
 
     with_dups = texts.join(dups.hint("shuffle_hash"), "rid", "left")
@@ -467,7 +586,7 @@ def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     shared = runs.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(lean(_shared), "rid long, run long, h long")
     wanted = scratch.table(shared.groupBy("rid").agg(F.collect_list(F.struct("run", "h")).alias("wanted")), "wanted")
 
-    contexts = texts.join(wanted.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "wanted").mapInArrow(lean(_contexts(length)), "h long, doc long, rid long, at int, bytes binary")
+    contexts = texts.join(wanted.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "wanted").mapInArrow(lean(_contexts(length, gram, _hot(spark, wanted, hot_rows))), "h long, doc long, rid long, from int, to int, bytes binary")
     found = contexts.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(lean(_sorted_hits(length)), "rid long, from int, to int")
     hits = scratch.table(_packed(found, "hits"), "hits")
     scratch.drop("wanted")
@@ -475,28 +594,26 @@ def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     decided = dups.join(hits, "rid", "full")
     full = base.join(decided.hint("shuffle_hash"), "rid", "left")
     done = full.select("rid", "text", "dups", "hits", *[f"k{i}" for i in range(len(keep))])
-    return _finish(done, keep, length)
-
-
-def kept_text(kept: str = "kept"):
-    """Remaining bytes as text; of a character that is only in part removed nothing stays."""
+    return _finish(done, keep, length, as_text)
 
-    @F.pandas_udf("string")
-    def decoded(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    return decoded(F.col(kept))
+def _hot(spark: SparkSession, wanted: DataFrame, least: int):
+    """The buckets of anchors with more rows than ``least`` and than four times the mean: at most a quarter of BUCKETS numbers."""
+    total = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    counts = wanted.select(F.explode("wanted.h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+    hot = counts.where(F.col("count") > max(least, 4 * total // BUCKETS)).select("b").collect()
+    return spark.sparkContext.broadcast(np.array([r.b for r in hot], np.int64))
 
 
-def _finish(done: DataFrame, keep: list[str], length: int) -> DataFrame:
+def _finish(done: DataFrame, keep: list[str], length: int, as_text: bool) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in done.schema}
     kept = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = _removed(length)
+        inner = _removed(length, as_text)
         for batch in batches:
             for out in inner(iter([batch])):
                 yield _batch(["n_bytes", "kept", "spans", *kept], out["n_bytes"], out["kept"], out["spans"], *[batch[k] for k in kept])
 
-    made = done.mapInArrow(lean(run), ", ".join(["n_bytes long, kept binary, spans array<struct<`from`:bigint,`to`:bigint>>", *[f"{k} {types[k]}" for k in kept]]))
+    made = done.mapInArrow(lean(run), ", ".join([f"n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<`from`:bigint,`to`:bigint>>", *[f"{k} {types[k]}" for k in kept]]))
     return made.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "n_bytes", "kept", "spans")
