@@ -1,7 +1,7 @@
 """Quality by positive-unlabelled learning: the non-negative unbiased risk of a linear model.
 
-Trusted positives are rows labelled good; the unlabelled text is rows whose labels aren't looked
-at.  The class prior is estimated from the two samples alone (best-bin estimation), and the risk
+Trusted positives are rows labelled good; the unlabelled text is drawn from all documents, whose
+labels aren't looked at.  The class prior is estimated from the two samples alone (best-bin estimation), and the risk
 pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]) is minimised with the logistic loss.
 """
 
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, crc_fold
+from tessera.llm.common import Scratch, crc_fold, lean
 
-#: Most labelled rows that are fitted (half of them as unlabelled ones).
-MOST_LABELLED = 40_000
+#: Most positives, and most unlabelled documents, that are fitted.
+MOST_LABELLED, MOST_UNLABELLED = 20_000, 20_000
 #: Byte classes: 0 end of line, 1 other white space, 2 a-z and non-ASCII, 3 A-Z, 4 digit, 5 . , ; : ' ", 6 ! ?, 7 - ( ) / _, 8 |, 9 any other sign.
 CLASSES = 10
 _CLASS = np.full(256, 9, np.int64)
@@ -93,24 +93,31 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 800, rate: f
     return w
 
 
-def learn(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and prior from feature rows, ``positive`` and ``unlabelled`` flags."""
-    xp, xu = x[positive], x[unlabelled]
+def learn(xp: np.ndarray, xu: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and prior from feature rows of positives and of unlabelled text."""
     first = fit(xp, xu, 0.5)  # ranks rows well enough for the prior, whatever the prior
     z = lambda x: x @ first[:-1]
     prior = best_bin_prior(z(xp), z(xu))
     return fit(xp, xu, prior), prior
 
 
-def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """``(doc_id long, score double)`` for every row of ``documents``, from its whole text.
+def _features_of(rows: DataFrame) -> np.ndarray:
+    """The column x of bounded ``rows``, by way of Arrow; in an order that only values decide."""
+    x = rows.select("x").toArrow().column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
+    return x[np.lexsort(x.T)]
 
-    Fits on labelled rows that aren't held out, at most ``most_labelled`` (the smallest by id hash):
-    rows of the even half labelled 1 are the positives, rows of the odd half, labels unseen, the
-    unlabelled text.  Features are scaled by mean and deviation over all documents.  Rows with a null
-    id or label aren't fitted, an id labelled twice counts with its larger label.  Null and empty
-    texts have zero features.  If either sample is empty all scores are 0.5.  Repeated rows are
-    scored alike; other columns are ignored.
+
+def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_labelled: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:
+    """``(doc_id long, score double)`` for every row of ``documents``, from its whole text, however long.
+
+    Positives are the documents labelled 1 whose ids aren't held out, at most ``most_labelled`` (the
+    smallest by id hash).  The unlabelled text is a sample of all documents that aren't held out, at
+    most ``most_unlabelled``, whatever their labels, which aren't looked at.  Features are scaled by
+    mean and deviation over all documents.  Rows with a null id aren't fitted, nor are null labels; an
+    id labelled twice counts with its larger label; of rows that share an id one is fitted, by the
+    hash of its features.  Null and empty texts have zero features.  If either sample is empty all
+    scores are 0.5.  Equal texts have equal scores, so ties stay ties.  Repeated rows are scored
+    alike; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "quality")
@@ -121,7 +128,7 @@ def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             cells = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * N_FEATURES, pa.int32()), pa.array(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), cells], ["doc_id", "x"])
 
-    rows = scratch.table(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, x array<float>"), "features")
+    rows = scratch.table(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(lean(run), "doc_id long, x array<float>"), "features")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, q = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
@@ -130,24 +137,24 @@ def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             n, s, q = n + len(x), s + x.sum(axis=0), q + (x * x).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_FEATURES)), pa.array(np.full(N_FEATURES, n)), pa.array(s), pa.array(q)], ["k", "n", "s", "q"])
 
-    stats = rows.select("x").mapInArrow(sums, "k long, n long, s double, q double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").collect()
+    stats = rows.select("x").mapInArrow(lean(sums), "k long, n long, s double, q double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").collect()
     n = max(1, stats[0].n if stats else 1)
     mean = np.round(np.array([r.s for r in stats]) / n if stats else np.zeros(N_FEATURES), 9)
     var = (np.array([r.q for r in stats]) / n if stats else np.zeros(N_FEATURES)) - mean**2
     scale = np.round(np.where(var > 1e-8, np.sqrt(np.maximum(var, 1e-8)), 1.0), 9)
 
-    marked = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    marked = marked.where(crc_fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    marked = spark.createDataFrame(marked.collect(), "doc_id long, y int")  # bounded by most_labelled
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    used = F.broadcast(marked.select("doc_id", (half == 1).alias("u"), ((half == 0) & (F.col("y") > 0)).alias("p")).where("u or p"))
-    fitted = rows.join(used, "doc_id").orderBy("doc_id").collect()
+    open_ = rows.where("doc_id is not null").where(crc_fold(F.col("doc_id")) != 0).withColumn("h", F.xxhash64("doc_id"))
+    good = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y > 0").select("doc_id").distinct()
+    # ids are chosen first, so that only their features are moved
+    good = open_.select("doc_id", "h").distinct().join(good, "doc_id").orderBy("h", "doc_id").limit(most_labelled).select("doc_id")
+    share = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < min(1 << 30, (most_unlabelled << 30) // n)
+    some = open_.where(share).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(most_unlabelled).select("doc_id")
+    one = lambda ids: open_.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    scale_of = lambda x: np.clip((x - mean) / scale, -6, 6)
     weights = np.zeros(N_FEATURES + 1)
-    if fitted:
-        x = (np.array([r.x for r in fitted], np.float64) - mean) / scale
-        p, u = (np.array([r[k] for r in fitted], bool) for k in ("p", "u"))
-        if p.any() and u.any():
-            weights, _ = learn(np.clip(x, -6, 6), p, u)
+    xp, xu = _features_of(one(good)), _features_of(one(some))
+    if len(xp) and len(xu):
+        weights, _ = learn(scale_of(xp), scale_of(xu))
     shipped = spark.sparkContext.broadcast(pickle.dumps((mean, scale, weights)))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,4 +164,4 @@ def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             z = np.clip((x - mean) / scale, -6, 6) @ w[:-1] + w[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
-    return rows.mapInArrow(scores, "doc_id long, score double")
+    return rows.mapInArrow(lean(scores), "doc_id long, score double")
