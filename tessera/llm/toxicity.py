@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_fold, lean, small_batches
+from tessera.llm.common import Scratch, crc_fold, lean, small_batches
 
 #: What a written character may stand for, beside itself.
 SUBSTITUTES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 #: Channel costs in nats: reading a substitute, leaving out a separator, shortening a run by one, keeping a sign that isn't a letter,
 #: leaving out a substitute (but !) at an end.
 SUBSTITUTE_COST, SEPARATOR_COST, REPEAT_COST, KEEP_COST, EDGE_COST = 1.0, 0.5, 0.4, 10.0, 8.0
-#: Most labelled rows that are fitted, and most features of the model.
-MOST_LABELLED, MOST_FEATURES = 20_000, 20_000
+#: Most labelled rows that are fitted.
+MOST_LABELLED = 20_000
 SYMBOLS = 28
 #: Byte to symbol: 1-26 a-z in either case, 27 any byte of a non-ASCII letter, 0 all else.
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
@@ -174,7 +174,10 @@ def features(restored: str) -> set[str]:
 
 
 def summary(found: list[float], n_words: int) -> list[float]:
-    """What the calibrated score sees of a text: its strongest evidence, its five strongest together, its count and length."""
+    """What the calibrated score sees of a text: its strongest evidence, the sum of its five strongest, the number of all evidence, and of words.
+
+    The sum stops at five so that long clean texts don't add up chance evidence; more of it shows in its number.
+    """
     found = sorted(found, reverse=True)
     return [found[0] if found else 0.0, sum(found[:5]), math.log1p(len(found)), math.log1p(n_words)]
 
@@ -235,20 +238,24 @@ class Model:
         return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(of(text), w[:-1]) + w[-1])))))
 
 
-def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> Model:
+def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED) -> Model:
     """Fit on the labelled rows that aren't held out, ``most_labelled`` of them at most (the smallest by id hash).
 
     The language model covers all documents.  Rows with a null id or label are left out; an id
-    labelled twice counts with its larger label.  Without both classes the model has no features and
+    labelled twice counts with its larger label; of documents that share an id one is fitted, by the
+    hash of its text.  Texts are read whole, however long; null and empty ones have no features.
+    Features of equal weight are independent of each other, so there are no ties.  Other columns are
+    ignored, whatever their names; either table may be empty.  Without both classes the model has no features and
     scores every text by the share of toxic labels (0.5 with one added to either class if none).
     """
     spark: SparkSession = documents.sparkSession
-    small_batches(spark)
+    scratch = Scratch(spark, "toxicity")
     lm = language_model(documents, text)
     rows = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     rows = rows.where(crc_fold(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     rows = spark.createDataFrame(rows.collect(), "id long, y int")  # bounded by most_labelled
-    sample = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(F.broadcast(rows), "id").select("t", "y")
+    sample = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(F.broadcast(rows), "id")
+    sample = scratch.table(sample.groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.max("y").alias("y")).select("t", "y"), "sample")
     cost = spark.sparkContext.broadcast(pickle.dumps(lm.cost))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +278,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     sums = sums.where("a >= 3").withColumn("g", 2 * (term(a, p) + term(b, q)))
     sums = sums.withColumn("w", F.log((a + 0.5) / (n_toxic + 1.0)) - F.log((b + 0.5) / (n_clean + 1.0))).where("w > 2")
     # beyond chance for the number of features that there may be, about ten for each labelled word
-    kept = sums.where(F.col("g") > 2 * math.log(50.0 * (n_toxic + n_clean)) + 4).orderBy(F.desc("g"), "f").limit(most_features).collect()
+    kept = sums.where(F.col("g") > 2 * math.log(50.0 * (n_toxic + n_clean)) + 4).collect()  # fewer than the sample has words
     weights = {r.f: float(r.w) for r in kept}
     shipped = spark.sparkContext.broadcast(pickle.dumps(weights))
 
@@ -288,7 +295,12 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``documents`` and a column ``out``, 0 to 1, of the whole text; null and empty texts get the score of no evidence."""
+    """``documents`` and a column ``out``, 0 to 1, of the whole text.
+
+    Texts are read whole, however long.  Null and empty texts get the score of no evidence.  Equal
+    texts have equal scores; repeated rows are scored alike; an empty table gives no rows.  ``out``
+    must not be a column of ``documents``, whose other columns may have any names.
+    """
     spark: SparkSession = documents.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(pickle.dumps((model.lm.cost, model.weights, model.calibration)))
