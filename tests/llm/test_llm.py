@@ -57,7 +57,7 @@ def test_fuzzy_keys_meet_within_three_errors():
 def test_simhash_brute(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.where("doc_id > 0 and doc_id <> 4").select(F.col("doc_id") + 10_000, "text"))
     rows = docs.collect()
-    fp = [brute_fingerprint(r.text[:2000] if r.doc_id == 10_003 and r.text else r.text) for r in rows]
+    fp = [brute_fingerprint(r.text) for r in rows]
     root = {r.doc_id: r.doc_id for r in rows}
     changed = True
     while changed:
@@ -69,15 +69,16 @@ def test_simhash_brute(spark, odd):
                     changed = True
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert {k: r.component_id for k, r in got.items()} == root
-    assert all(r.fingerprint == f"{f:016x}" for r, f in ((got[x.doc_id], f) for x, f in zip(rows, fp, strict=True) if x.doc_id != 10_003))
+    assert all(r.fingerprint == f"{f:016x}" for r, f in ((got[x.doc_id], f) for x, f in zip(rows, fp, strict=True)))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
 def test_simhash_deals_hot_keys(spark):
     r = np.random.default_rng(1)
     fps = np.unique(np.concatenate([np.uint64(77) ^ (np.uint64(1) << r.integers(0, 64, 60).astype(np.uint64)), r.integers(0, 2**60, 60, dtype=np.uint64)]))
-    keys = spark.createDataFrame([(5, int(f.view(np.int64)), i) for i, f in enumerate(fps)], "key long, fp long, rep long")
-    pairs = {tuple(sorted(x)) for x in ((a.a, a.b) for a in simhash.link_keys(keys, most=10).collect())}
+    number = {int(f.view(np.int64)): i for i, f in enumerate(fps)}
+    keys = spark.createDataFrame([(5, f) for f in number], "key long, fp long")
+    pairs = {tuple(sorted((number[x.a], number[x.b]))) for x in simhash.link_keys(keys, most=10).collect()}
     linked = lambda i, j: int(fps[i] ^ fps[j]).bit_count() <= 3
     assert all(linked(*p) for p in pairs)
 
@@ -228,8 +229,8 @@ def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "Short One"), (None, "odd item"), (3, ""), (4, None), (2, "Short One")], "item_id long, text string")
     text = "Start, " + " ".join(f"W{i}" for i in range(3, 18)) + " and short-one; odd item end"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").withColumn("spans", F.lit(1))
-    for most in (1 << 20, 40):
-        r = decontam.contamination(docs, bench, most_bytes=most).orderBy("doc_id").collect()
+    for most in (1 << 20, 20):
+        r = decontam.contamination(docs, bench, most_nodes=most).orderBy("doc_id").collect()
         assert (r[0].n_words, r[0].n_hit, r[0]["items"]) == (22, 15 + 2 + 2, [1, 2])
         assert [text[x["from"] : x["to"]] for x in r[0].offsets][1] == "short-one; odd item"
         assert (r[1].n_words, r[1].n_hit, r[2].n_hit) == (0, 0, 0)
@@ -252,12 +253,12 @@ def test_chat(spark):
 def brute_repeats(rows, n=50):
     first = {}
     for d, t in rows:
-        b, k = (t or "").encode(), suffix.LAST if d is None else d
+        b, k = (t or "").encode(), suffix.LAST + 1 if d is None else d
         for i in range(len(b) - n + 1):
             first[b[i : i + n]] = min(k, first.get(b[i : i + n], suffix.LAST + 1))
     out = []
     for d, t in rows:
-        b, k = (t or "").encode(), suffix.LAST if d is None else d
+        b, k = (t or "").encode(), suffix.LAST + 1 if d is None else d
         keep = bytearray(b"\1" * len(b))
         for i in range(len(b) - n + 1):
             if first[b[i : i + n]] < k:
@@ -266,17 +267,35 @@ def brute_repeats(rows, n=50):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("part", [500, 1 << 21])
-def test_repeats_brute(spark, monkeypatch, part):
-    monkeypatch.setattr(suffix, "SORT_BYTES", part)
+def repeat_rows():
     r = random.Random(3)
     base = "".join(r.choice("abcdefg ") for _ in range(400))
     rows = [(None, None), (5, ""), (7, "x" * 300), (6, "x" * 200), (6, "x" * 200), (None, base), (3, base[100:300]), (9, base * 2), (9, "é" * 120), (2, "é" * 60), (11, "ab" * 100), (10, "ba" * 90)]
-    rows += [(20 + i, base[r.randrange(200) :][:150] + r.choice(["q", "zz"]) + base[50:130]) for i in range(30)]
+    return rows + [(20 + i, base[r.randrange(200) :][:150] + r.choice(["q", "zz"]) + base[50:130]) for i in range(30)] + [(80, "".join(r.choice("abcdefg ") for _ in range(200_000)) + base)]
+
+
+def digests(found):
+    return sorted(str((x.doc_id, hashlib.sha256(bytes(x.kept)).hexdigest())) for x in found.collect())
+
+
+@pytest.mark.parametrize(("part", "hot", "collide"), [(500, 2048, False), (1 << 19, 1, False), (1 << 19, 2048, True)])
+def test_repeats_brute(spark, monkeypatch, part, hot, collide):
+    digest = (lambda raw: bytes(15) + bytes([len(raw) & 1])) if collide else xxhash.xxh3_128_digest
+    monkeypatch.setattr(suffix, "SORT_BYTES", part)
+    monkeypatch.setattr(suffix, "BUCKETS", 1 << 12)
+    rows = repeat_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).repartition(3)
-    got = sorted(str((x.doc_id, hashlib.sha256(bytes(x.kept)).hexdigest())) for x in suffix.dedup_substrings(docs).collect())
-    assert got == brute_repeats(rows)
+    assert digests(suffix.dedup_substrings(docs, hot_rows=hot, digest=digest)) == brute_repeats(rows)
+
+
+def test_repeats_other_lengths_and_ids(spark):
+    rows = [((1 << 63) - 1 if d == 3 else d, t) for d, t in repeat_rows()[:-1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digests(suffix.dedup_substrings(docs, length=100)) == brute_repeats(rows, 100)
+    assert digests(suffix.dedup_substrings(docs, length=30, gram=30)) == brute_repeats(rows, 30)
     assert suffix.dedup_substrings(docs.limit(0)).count() == 0
+    text = {r.doc_id: r.kept for r in suffix.dedup_substrings(docs, as_text=True).collect()}
+    assert text[2] == "é" * 60 and text[5] == ""
 
 
 def test_suffix_sort():
