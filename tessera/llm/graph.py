@@ -34,7 +34,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None =
         now, k, before, mark = after, k + 1, mark, _mark(after)
         if mark == before:
             break
-    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root"))))
+    return now.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.root").alias("root"))
 
 
 def _mark(edges: DataFrame) -> tuple:

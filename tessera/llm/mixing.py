@@ -193,9 +193,10 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     spans = laid.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block_no"))
     begin, end = F.greatest(F.col("at"), F.col("block_no") * b), F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * b)
     spans = spans.select("source_no", "source", "block_no", "doc_no", "doc_id", (begin - F.col("at")).alias("from_word"), (end - begin).alias("n_words"))
-    blocks = slots.join(spans, ["source_no", "block_no"]).drop("source_no")
+    # a slot row comes of many times smaller input, so its size is underrated: neither side is to be broadcast
+    blocks = slots.hint("merge").join(spans, ["source_no", "block_no"]).drop("source_no")
     # block use is counted before the join, which then meets each block once however often it is drawn
     uses = slots.groupBy("source_no", "block_no").count()
-    taken = spans.join(uses, ["source_no", "block_no"]).groupBy("source_no", "doc_no").agg(F.sum(F.col("n_words") * F.col("count")).alias("taken"))
+    taken = spans.join(uses.hint("merge"), ["source_no", "block_no"]).groupBy("source_no", "doc_no").agg(F.sum(F.col("n_words") * F.col("count")).alias("taken"))
     parts = laid.join(taken, ["source_no", "doc_no"], "left").select("doc_no", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return blocks, parts
