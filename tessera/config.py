@@ -22,6 +22,7 @@ class EngineConfig:
     index: str = "exact"
     nlist: int = 256
     nprobe: int = 8
+    ef: int = 64
     mode: str = "hybrid"
     candidate_k: int = 50
     rrf_k: int = 60
@@ -34,6 +35,8 @@ class EngineConfig:
             raise ValueError(f"unknown mode {self.mode!r}; one of {MODES}")
         if not (1 <= self.top_k and 1 <= self.candidate_k and 1 <= self.rrf_k):
             raise ValueError("top_k, candidate_k and rrf_k are at least 1")
+        if self.chunk_unit not in ("token", "char"):
+            raise ValueError(f"unknown chunk unit {self.chunk_unit!r}")
         object.__setattr__(self, "candidate_k", max(self.candidate_k, self.top_k))
 
     @classmethod

@@ -11,6 +11,8 @@ REFUSALS = (
     "insufficient_context", "没有找到足够", "资料中没有", "资料未提及", "资料未说明", "未说明", "未给出", "没有提及",
     "未提及", "未提到", "没有提到", "无法回答", "无法从提供", "不足以回答", "没有相关信息", "不涉及",
 )
+#: Fixed value: signs that are written without blanks between words.
+CJK = r"\u4e00-\u9fff"
 #: Fixed value: a citation, in half- or full-width brackets.
 CITATION = r"(?U)[\[【]\s*来源\s*[:：]\s*(?<file>[^\[\]【】\s]+?)\s*第\s*(?<page>\d+)\s*页\s*[\]】]"
 
@@ -37,11 +39,26 @@ def content_id(t) -> Column:
     return F.substring(F.sha1(_c(t).cast("binary")), 1, 16)
 
 
-def tokens(t) -> Column:
+def words(t) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(_c(t), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def _bigrams(run) -> Column:
+    return F.when(F.length(run) < 2, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2))))
+
+
+def tokens(t) -> Column:
+    """The built-in tokenizer: words(), with runs of CJK signs as overlapping pairs of signs.
+
+    Any other function of a text column to an array of strings can stand in its place, for the index
+    and for questions alike.
+    """
+    plain = words(t)
+    parts = lambda w: F.flatten(F.transform(F.regexp_extract_all(w, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0)), lambda r: F.when(r.rlike(f"^[{CJK}]"), _bigrams(r)).otherwise(F.array(r))))
+    return F.when(_c(t).rlike(f"[{CJK}]"), F.flatten(F.transform(plain, parts))).otherwise(plain)
+
+
 def basename(path, default: str = "unknown") -> Column:
     return F.coalesce(F.element_at(F.split(_c(path), "/"), -1), F.lit(default))
 
@@ -132,3 +149,14 @@ def cache_key(*parts) -> Column:
 def ratio(num, den) -> Column:
     """num / den, zero where there is nothing to divide by."""
     return F.when(_c(den) == 0, 0.0).otherwise(F.coalesce(_c(num) / _c(den), F.lit(0.0)))
+
+
+def entry(m, key: str, default: str) -> Column:
+    """An entry of a map, or the default."""
+    return F.coalesce(F.try_element_at(_c(m), F.lit(key)), F.lit(default))
+
+
+def merged(a, b) -> Column:
+    """Two maps as one; entries of the second win, and a null map is an empty one."""
+    first, second = F.coalesce(_c(a), F.create_map().cast("map<string,string>")), F.coalesce(_c(b), F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)

@@ -21,7 +21,9 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column, eps: float = 1e-12) -> Column:
-    return F.transform(v.cast("array<double>"), lambda x: x / F.greatest(norm(v), F.lit(eps)))
+    """Over its norm, which is worked out once a vector (bound as the one element of an array)."""
+    parts = v.cast("array<double>")
+    return F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(parts, lambda x: x / F.greatest(n, F.lit(eps)))), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

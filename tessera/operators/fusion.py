@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +13,38 @@ from tessera.functions.text import tokens
 
 
 def fuse(channels: dict[str, DataFrame], k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
-    """(question_id, doc_idx, <channel>_rank..., score, rank); a channel that missed has a null rank."""
-    rows = reduce(DataFrame.unionByName, [c.select("question_id", "doc_idx", "rank", F.lit(name).alias("channel"), F.lit(float((weights or {}).get(name, 1.0))).alias("w")) for name, c in channels.items()])
-    ranks = [F.min(F.when(F.col("channel") == name, F.col("rank"))).alias(f"{name}_rank") for name in channels]
-    fused = rows.groupBy("question_id", "doc_idx").agg(*ranks, F.round(F.sum(F.col("w") / (k + F.col("rank"))), 9).alias("score"))
+    """(question_id, doc_idx, <channel>_rank..., score, rank); a channel that missed has a null rank.
+
+    The channels meet in full outer joins.  (A union of ranked channels, summed by document, gave wrong
+    rows in self joins: in Spark 4.1 the union passes on its children's partitioning, which adaptive
+    execution then coalesces apart.)
+    """
+    sides = [c.select("question_id", "doc_idx", F.col("rank").alias(f"{name}_rank")) for name, c in channels.items()]
+    rows = reduce(lambda a, b: a.join(b, ["question_id", "doc_idx"], "full"), sides)
+    parts = [F.coalesce(F.lit(float((weights or {}).get(name, 1.0))) / (k + F.col(f"{name}_rank")), F.lit(0.0)) for name in channels]
+    fused = rows.withColumn("score", F.round(reduce(lambda a, b: a + b, parts), 9))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_idx")
     return fused.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def model_scorer(make: Callable, batch: int = 32) -> Callable:
+    """A scorer of (question, text) by a model: ``make()`` is called once a Python worker's task and gives a function of two lists to scores.
+
+    Scores are used as they are returned.
+    """
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        score = make()
+        for asked, texts in parts:
+            out: list[float] = []
+            for at in range(0, len(asked), batch):
+                out += score(asked[at : at + batch].tolist(), texts[at : at + batch].tolist())
+            yield pd.Series(out, dtype="float64")
+
+    return scored
+
+
 def lexical_score(question, text):
     """Share of the question's distinct tokens that the text holds: the built-in scorer."""
     q = F.array_distinct(tokens(question))

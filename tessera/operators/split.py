@@ -6,15 +6,21 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.config import EngineConfig
+from tessera.functions.text import collapse_blanks, newlines, strip
+
+#: Fixed value: CJK signs and their punctuation, by code point.
+WIDE = r"\u4e00-\u9fff\u3000-\u303f\uff00-\uffef"
 #: Separators from strong to weak, ends of sentences, starts of blocks.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "：", "，", " ", "")
 SENTENCE_END = ("。", "！", "？", "；", "：", ".", "!", "?", ";", ":", "”", "』", "」", "）", ")", "】")
-BLOCK_START = re.compile(r"^\s*(?:[#>*\-•·]|\(?\d+(?:[.)、]|\s)|\d+(?:\.\d+)+|[（(]?[一二三四五六七八九十百]+[）)、.]|第[一二三四五六七八九十百\d]+[章节讲篇部分])")
-_CJK = re.compile(r"[一-鿿　-〿＀-￯]")
+BLOCK_START = r"^\s*(?:[#>*\-•·]|\(?\d+(?:[.)、]|\s)|\d+(?:\.\d+)+|[（(]?[一二三四五六七八九十百]+[）)、.]|第[一二三四五六七八九十百\d]+[章节讲篇部分])"
 MIN_MERGE = 20
+_ENDS = "".join(f"\\{x}" if x in ".?)" else x for x in SENTENCE_END)
+_TOKENS = re.compile(r"\w+|[^\w\s]")
 
 
 def windows(text: str, size: int = 1000, overlap: int = 200) -> Iterator[tuple[int, str]]:
@@ -70,39 +76,53 @@ def recursive(text: str, size: int, overlap: int, length: Callable[[str], int] =
     return out
 
 
-def join_lines(a: str, b: str) -> str:
-    """No blank between CJK signs, a trailing hyphen goes, else one blank."""
-    if not a or not b or _CJK.match(a[-1]) or _CJK.match(b[0]):
-        return a + b
-    return a[:-1] + b if a[-1] == "-" else f"{a} {b}"
+def token_count(text: str) -> int:
+    """The built-in length in tokens: words, and every sign that is neither word nor blank."""
+    return len(_TOKENS.findall(text))
+
+
+def splitter(config: EngineConfig, length: Callable[[str], int] | None = None) -> Callable[[str], list[tuple[int, str]]]:
+    """recursive() by the settings: in characters, or in tokens as ``length`` (a model's tokenizer, say) counts them."""
+    size_of = length or (token_count if config.chunk_unit == "token" else len)
+    return lambda text: recursive(text, config.chunk_size, config.chunk_overlap, size_of)
+
+
+def join_lines(a: Column, b: Column) -> Column:
+    """No blank beside a CJK sign, a trailing hyphen goes, else one blank."""
+    wide = a.rlike(f"[{WIDE}]$") | b.rlike(f"^[{WIDE}]") | (a == "") | (b == "")
+    return F.when(wide, F.concat(a, b)).when(a.endswith("-"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).otherwise(F.concat(a, F.lit(" "), b))
+
+
+def paragraphs(text: Column) -> Column:
+    """Lines of hard-wrapped text joined into paragraphs; short lines, block starts and sentence ends stay apart.
+
+    A fold over the lines in the JVM: what is folded so far is one string, whose last line may still grow.
+    """
+    lines = F.transform(F.split(collapse_blanks(newlines(F.coalesce(text, F.lit("")))), "\n"), strip)
 
+    def step(done: Column, line: Column) -> Column:
+        last = F.substring_index(done, "\n", -1)
+        short = (F.length(last) < MIN_MERGE) | (F.length(line) < MIN_MERGE)
+        apart = (last == "") | (line == "") | short | last.rlike(f"[{_ENDS}]$") | line.rlike(BLOCK_START)
+        return F.when(apart, F.concat(done, F.lit("\n"), line)).otherwise(F.concat(F.substring(done, F.lit(1), F.length(done) - F.length(last)), join_lines(last, line)))
 
-def paragraphs(text: str) -> str:
-    """Lines of hard-wrapped text joined into paragraphs; short lines, block starts and sentence ends stay apart."""
-    done: list[str] = []
-    lines = [x.strip() for x in re.sub(r"[ \t ]+", " ", re.sub(r"\r\n?", "\n", text)).split("\n")]
-    open_ = False
-    for line in lines:
-        joins = open_ and line and min(len(done[-1]), len(line)) >= MIN_MERGE and not done[-1].endswith(SENTENCE_END) and not BLOCK_START.match(line)
-        if joins:
-            done[-1] = join_lines(done[-1], line)
-        else:
-            done.append(line)
-        open_ = bool(line)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(done)).strip()
+    first = F.element_at(lines, 1)
+    whole = F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), first, step)
+    return strip(F.regexp_replace(whole, r"\n{3,}", "\n\n"))
 
 
 def split(docs: DataFrame, splitter: Callable[[str], list[tuple[int, str]]], text: str = "page_content", normalise: bool = False) -> DataFrame:
     """A row for each chunk: the other columns, then chunk_no (from 1), total_chunks, start_index and the chunk as ``text``."""
     rest = [c for c in docs.columns if c not in (text, "chunk_no", "total_chunks", "start_index")]
-    frame = docs.select(F.col(text).alias("_t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(rest)])
+    body = paragraphs(F.col(text)) if normalise else F.col(text)
+    frame = docs.select(body.alias("_t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(rest)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, no, total, start, body = [], [], [], [], []
             for i, cell in enumerate(batch.column(0)):
                 t = cell.as_py() or ""
-                found = list(splitter(paragraphs(t) if normalise else t))
+                found = list(splitter(t))
                 for n, (at, chunk) in enumerate(found, 1):
                     row.append(i)
                     no.append(n)
@@ -118,5 +138,4 @@ def split(docs: DataFrame, splitter: Callable[[str], list[tuple[int, str]]], tex
 
 def normalised(docs: DataFrame, text: str = "page_content") -> DataFrame:
     """``docs`` with paragraphs() of the text."""
-    body = F.pandas_udf(lambda s: s.map(lambda t: paragraphs(t or "")), "string")
-    return docs.withColumn(text, body(F.col(text)))
+    return docs.withColumn(text, paragraphs(F.col(text)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import newlines
+from tessera.functions.text import newlines, strip
 
 QUESTION = "id string, type string, question string, expected_keywords array<string>, expected_source string, required_sources array<string>, absent_terms array<string>, source_hint string, note string"
 
@@ -18,11 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(documents: DataFrame) -> DataFrame:
-    """documents as pages: doc_idx, source, page (from 0), page_label (text, from 1), total_pages, page_content."""
-    by = Window.partitionBy("source")
-    page = F.row_number().over(by.orderBy("doc_id")) - 1
-    return documents.select(F.col("doc_id").alias("doc_idx"), "source", page.alias("page"), (page + 1).cast("string").alias("page_label"), F.count("*").over(by).alias("total_pages"), F.col("text").alias("page_content"))
+#: Document ids that one window task numbers.
+STRETCH = 4096
+
+
+def corpus(documents: DataFrame, pages: bool = True) -> DataFrame:
+    """documents as pages: doc_idx, source, page (from 0), page_label (text, from 1), total_pages, page_content.
+
+    Without ``pages`` only doc_idx, source and page_content, which need no numbering.  Pages are
+    numbered in stretches of ids and the stretches' sums are added, so a source with a third of all
+    documents isn't one task's work.
+    """
+    rows = documents.select(F.col("doc_id").alias("doc_idx"), "source", F.col("text").alias("page_content"))
+    if not pages:
+        return rows
+    rows = rows.withColumn("stretch", F.floor(F.col("doc_idx") / STRETCH))
+    whole = Window.partitionBy("source")
+    before = whole.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "stretch").agg(F.count("*").alias("n"))
+    sums = sums.select(F.col("source").alias("s"), F.col("stretch").alias("x"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("total_pages"))
+    page = (F.col("base") + F.row_number().over(Window.partitionBy("source", "stretch").orderBy("doc_idx")) - 1).cast("int")
+    numbered = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("x"))).withColumn("page", page)
+    return numbered.select("doc_idx", "source", "page", (F.col("page") + 1).cast("string").alias("page_label"), "total_pages", "page_content")
 
 
 def questions(benchmark: DataFrame) -> DataFrame:
@@ -99,3 +116,47 @@ def noisy_copies(vectors: DataFrame, n: int, noise: float = 0.05, seed: int = 0)
     rows = vectors.select("embedding", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("copy"))
     rows = rows.select(F.transform("embedding", lambda x: x + noise * F.randn(seed)).alias("embedding"))
     return rows.limit(n).select(F.monotonically_increasing_id().alias("doc_idx"), l2_normalise(F.col("embedding")).alias("embedding"))
+
+
+def sampled(rows: DataFrame, key: str, n: int = 20, seed: int = 42) -> DataFrame:
+    """``n`` rows without replacement, the same ones however rows are dealt: the smallest digests of key and seed."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
+
+
+def whole_documents(pages: DataFrame) -> DataFrame:
+    """``pages(source, page, page_content)`` as one row a file: pages joined by a blank line and stripped; files without text go; page is 1.
+
+    A row holds a file's whole text, so files are what bounds it.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "page_content"))), lambda x: x["page_content"]), "\n\n")
+    made = pages.groupBy("source").agg(strip(text).alias("page_content"))
+    return made.where("page_content <> ''").select("source", F.lit(1).alias("page"), "page_content")
+
+
+def pdf_only(files: DataFrame, content: str = "content") -> DataFrame:
+    """Files whose first five bytes are a PDF's."""
+    return files.where(F.substring(F.col(content).cast("binary"), 1, 5) == F.lit(b"%PDF-"))
+
+
+def load_counters(pages: DataFrame) -> DataFrame:
+    """One row of what was read: files, pages, pages without text, characters."""
+    blank = F.coalesce(strip("page_content"), F.lit("")) == ""
+    return pages.agg(F.countDistinct("source").alias("files"), F.count("*").alias("pages"), F.count(F.when(blank, 1)).alias("empty_pages"), F.coalesce(F.sum(F.length("page_content")), F.lit(0)).cast("long").alias("chars"))
+
+
+#: Bounds of a request.
+MOST_QUESTION, MOST_TOP_K, MOST_CANDIDATES, MOST_RRF_K = 500, 20, 200, 200
+
+
+def checked_requests(requests: DataFrame, modes: tuple[str, ...] = ("vector", "bm25", "hybrid"), variants: tuple[str, ...] = ("full", "no_refusal", "no_cite"), top_k: int = 4) -> DataFrame:
+    """``requests(question, top_k, candidate_k, rrf_k, mode, variant)`` with defaults filled in and ``error`` (null if the request is good).
+
+    The bounds decide first, then the mode, then the variant.
+    """
+    filled = requests.withColumns({"top_k": F.coalesce("top_k", F.lit(top_k)), "candidate_k": F.coalesce("candidate_k", F.lit(50)), "rrf_k": F.coalesce("rrf_k", F.lit(60)), "mode": F.coalesce("mode", F.lit("hybrid")), "variant": F.coalesce("variant", F.lit("full"))})
+    outside = lambda c, most: ~F.col(c).between(1, most)
+    error = (
+        F.when(~F.coalesce(F.length("question").between(1, MOST_QUESTION), F.lit(False)), "question").when(outside("top_k", MOST_TOP_K), "top_k").when(outside("candidate_k", MOST_CANDIDATES), "candidate_k").when(outside("rrf_k", MOST_RRF_K), "rrf_k")
+        .when(~F.col("mode").isin(*modes), "mode").when(~F.col("variant").isin(*variants), "variant")
+    )
+    return filled.withColumn("error", error)
