@@ -99,7 +99,7 @@ SELECT conv_id, perspective, seq, turn, chat_role, name, segment, mask, from_cha
 
 SQL_OP7 = """
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark
 ), bw AS (
@@ -118,7 +118,7 @@ WITH d AS (
 SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
-""".replace("lower(translate(", "(translate(")
+"""
 
 QUERIES = {"pipeline": corpus_pipeline.run, "op1_simhash": op1_simhash, "op2_cap_filters": op2_cap_filters, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_html_extraction": op5_html_extraction, "op6_licenses": op6_licenses, "op7_decontamination": op7_decontamination, "op8_perspectives": op8_perspectives, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
 ORACLE = {"op2_cap_filters": SQL_OP2, "op8_perspectives": SQL_OP8, "op7_decontamination": SQL_OP7}
