@@ -104,7 +104,7 @@ def page_scan(spark, d):
     return _docs(spark, d, pages=True).select("doc_idx", "source", F.col("page").cast("long"), "page_label", "total_pages", F.length("page_content").cast("long").alias("n_chars"))
 
 
-@query("SELECT page_id, length(regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{00A0}]+', ' ', 'g')) AS n_chars, md5(regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{00A0}]+', ' ', 'g')) AS digest FROM pages")
+@query("""SELECT page_id, length(regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{00A0}]+', ' ', 'g')) AS n_chars, md5(regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{00A0}]+', ' ', 'g')) AS digest FROM pages""")
 def blank_normalise(spark, d):
     t = T.collapse_blanks(T.newlines("html"))
     return table(spark, d, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("digest"))
@@ -120,7 +120,9 @@ def dedup_keep_first(spark, d):
     return store.keep_first(_docs(spark, d)).select("doc_idx", "doc_id")
 
 
-@query("WITH a AS (SELECT doc_id::VARCHAR AS name, sha1(text) AS s FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id::VARCHAR AS name, sha1(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS s FROM documents WHERE doc_id % 10 <> 1) SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.s IS NULL THEN 'new' WHEN a.s IS NULL THEN 'removed' WHEN a.s = b.s THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.name = b.name")
+@query("""WITH a AS (SELECT doc_id::VARCHAR AS name, sha1(text) AS s FROM documents WHERE doc_id % 10 <> 0),
+b AS (SELECT doc_id::VARCHAR AS name, sha1(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS s FROM documents WHERE doc_id % 10 <> 1)
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.s IS NULL THEN 'new' WHEN a.s IS NULL THEN 'removed' WHEN a.s = b.s THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.name = b.name""")
 def ingest_ledger_diff(spark, d):
     """The two snapshots are derived from the table by rule: files appear, go and change."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("i"), "text")
@@ -171,14 +173,17 @@ _JOINED = f"regexp_replace({_FOLD}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'
 _WRAPPED = "CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '(.{50}\\S*) ', '\\1' || chr(10), 'g') ELSE text END"
 
 
-@query(f"WITH w AS (SELECT doc_id, {_WRAPPED} AS t FROM documents), l AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{00A0}}]+', ' ', 'g'), chr(10)), lambda x: {_STRIP.format('x')}) AS lines FROM w) SELECT doc_id AS doc_idx, {_STRIP.format(_JOINED)} AS page_content FROM l")
+@query(f"""WITH w AS (SELECT doc_id, {_WRAPPED} AS t FROM documents),
+l AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{00A0}}]+', ' ', 'g'), chr(10)), lambda x: {_STRIP.format('x')}) AS lines FROM w)
+SELECT doc_id AS doc_idx, {_STRIP.format(_JOINED)} AS page_content FROM l""")
 def paragraph_normalise(spark, d):
     """Even documents are hard-wrapped first, so that there are lines to join."""
     wrapped = F.when(F.col("doc_idx") % 2 == 0, F.regexp_replace("page_content", r"(.{50}\S*) ", "$1\n")).otherwise(F.col("page_content"))
     return split.normalised(_docs(spark, d).withColumn("page_content", wrapped)).select("doc_idx", "page_content")
 
 
-@query(f"WITH RECURSIVE {FIXED}, n AS (SELECT len({TOK.format('chunk')}) AS n FROM fixed) SELECT min(n) AS least, list_sort(list(n))[(count(*) // 2 + 1)::BIGINT] AS upper_median, max(n) AS greatest, count(*) FILTER (n > 150) AS n_over FROM n")
+@query(f"""WITH RECURSIVE {FIXED}, n AS (SELECT len({TOK.format('chunk')}) AS n FROM fixed)
+SELECT min(n) AS least, list_sort(list(n))[(count(*) // 2 + 1)::BIGINT] AS upper_median, max(n) AS greatest, count(*) FILTER (n > 150) AS n_over FROM n""")
 def chunk_length_stats(spark, d):
     chunks = split.split(_docs(spark, d).select("doc_idx", "page_content"), split.windows)
     return store.length_stats(chunks.select(F.size(T.tokens("page_content")).alias("n")), limit=150)
@@ -215,7 +220,8 @@ def bm25_topk_unindexed(spark, d):
     return sparse.search(_asked(spark, d), _docs(spark, d), 4)
 
 
-@query(f"WITH {TERMS} SELECT count(*) AS n_docs, round((SELECT sum(tf) FROM tf) / count(*)::DOUBLE, 6) AS avgdl, (SELECT count(DISTINCT term) FROM tf) AS n_terms, 384::BIGINT AS dim FROM documents")
+@query(f"""WITH {TERMS}
+SELECT count(*) AS n_docs, round((SELECT sum(tf) FROM tf) / count(*)::DOUBLE, 6) AS avgdl, (SELECT count(DISTINCT term) FROM tf) AS n_terms, 384::BIGINT AS dim FROM documents""")
 def index_build(spark, d):
     """Builds the kept index anew: rows with vectors, postings, manifest."""
     at = _index(spark, d, rebuild=True)
@@ -223,14 +229,16 @@ def index_build(spark, d):
     return terms.select(F.lit(at.about["n_docs"]).cast("long").alias("n_docs"), F.lit(round(at.about["avgdl"], 6)).alias("avgdl"), "n_terms", F.lit(at.about["dim"]).cast("long").alias("dim"))
 
 
-@query(f"WITH {BM25} SELECT question_id, term, doc_idx, round(contribution, 6) AS contribution FROM gain JOIN (SELECT question_id, doc_idx FROM bmr WHERE rank = 1) USING (question_id, doc_idx)")
+@query(f"""WITH {BM25}
+SELECT question_id, term, doc_idx, round(contribution, 6) AS contribution FROM gain JOIN (SELECT question_id, doc_idx FROM bmr WHERE rank = 1) USING (question_id, doc_idx)""")
 def bm25_explain(spark, d):
     parts = sparse.explain(_asked(spark, d), _docs(spark, d))
     best = _index(spark, d).terms(_asked(spark, d), 1).select("question_id", "doc_idx")
     return parts.join(best, ["question_id", "doc_idx"]).select("question_id", "term", "doc_idx", F.round("contribution", 6).alias("contribution"))
 
 
-@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, i, round(x / sqrt(list_inner_product(v, v)), 6) AS x FROM (SELECT vec_id, v, unnest(v) AS x, generate_subscripts(v, 1)::BIGINT - 1 AS i FROM e)")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT vec_id, i, round(x / sqrt(list_inner_product(v, v)), 6) AS x FROM (SELECT vec_id, v, unnest(v) AS x, generate_subscripts(v, 1)::BIGINT - 1 AS i FROM e)""")
 def l2_normalised(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.posexplode(l2_normalise(F.col("embedding"))).alias("i", "x"))
     return v.select("vec_id", F.col("i").cast("long"), F.round("x", 6).alias("x"))
@@ -286,7 +294,8 @@ def ivf_label_topk(spark, d):
     return dense.probe(q, *_labelled(e), 10)
 
 
-@query(f"WITH {CELLS} SELECT count(iv.doc_idx) / count(*)::DOUBLE AS recall FROM (SELECT * FROM ex WHERE rank <= 10) t LEFT JOIN (SELECT * FROM iv WHERE rank <= 10) iv ON t.question_id = iv.question_id AND t.doc_idx = iv.doc_idx")
+@query(f"""WITH {CELLS}
+SELECT count(iv.doc_idx) / count(*)::DOUBLE AS recall FROM (SELECT * FROM ex WHERE rank <= 10) t LEFT JOIN (SELECT * FROM iv WHERE rank <= 10) iv ON t.question_id = iv.question_id AND t.doc_idx = iv.doc_idx""")
 def recall_at_k(spark, d):
     return dense.recall(dense_topk(spark, d), ivf_label_topk(spark, d))
 
@@ -329,12 +338,14 @@ def hybrid_topk(spark, d):
     return _hybrid(spark, d)
 
 
-@query(f"WITH {BM25}, {VECTOR}, {_fuse(60, 1, 2)} SELECT question_id, doc_idx, rank, score, 'rrf' AS score_kind, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM fur WHERE rank <= 4")
+@query(f"""WITH {BM25}, {VECTOR}, {_fuse(60, 1, 2)}
+SELECT question_id, doc_idx, rank, score, 'rrf' AS score_kind, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM fur WHERE rank <= 4""")
 def rrf_weighted(spark, d):
     return _hybrid(spark, d, bm25_weight=2.0)
 
 
-@query(f"WITH {HYBRID} SELECT question_id, doc_idx, rank, score, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank, count(vector_rank) OVER (PARTITION BY question_id) AS vector_hits, count(bm25_rank) OVER (PARTITION BY question_id) AS bm25_hits, 'hybrid' AS mode FROM fur")
+@query(f"""WITH {HYBRID}
+SELECT question_id, doc_idx, rank, score, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank, count(vector_rank) OVER (PARTITION BY question_id) AS vector_hits, count(bm25_rank) OVER (PARTITION BY question_id) AS bm25_hits, 'hybrid' AS mode FROM fur""")
 def hybrid_debug(spark, d):
     found = fusion.fuse(channels(_asked(spark, d), _index(spark, d), EngineConfig()))
     size = lambda c: F.count(c).over(Window.partitionBy("question_id"))
@@ -366,7 +377,8 @@ def _rows(spark, d):
     return evaluate.per_question(_typed(spark, d), _hybrid(spark, d), _docs(spark, d))
 
 
-@query(f"WITH {HYBRID}, {KEYED}, {PER} SELECT question_id, type, status, first_hit::DOUBLE AS first_hit, coverage, hop AS hop_coverage, source_hit, source_at1, top1_source FROM st2")
+@query(f"""WITH {HYBRID}, {KEYED}, {PER}
+SELECT question_id, type, status, first_hit::DOUBLE AS first_hit, coverage, hop AS hop_coverage, source_hit, source_at1, top1_source FROM st2""")
 def retrieval_per_question(spark, d):
     return _rows(spark, d).drop("missing").withColumn("first_hit", F.col("first_hit").cast("double"))
 
@@ -433,7 +445,9 @@ def citation_parse(spark, d):
     return _answers(spark, d).select("question_id", F.inline(T.citations("answer")))
 
 
-@query(f"WITH {_ANS} SELECT question_id, count(*) AS n, count(*) FILTER (ok) AS valid, count(*) FILTER (ok) / count(*)::DOUBLE AS validity, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (ok)), ','), '') AS cited FROM (SELECT an.*, EXISTS (SELECT 1 FROM k WHERE k.question_id = an.question_id AND k.source = an.source AND k.page + 1 = an.p) AS ok FROM an) GROUP BY 1")
+@query(f"""WITH {_ANS}
+SELECT question_id, count(*) AS n, count(*) FILTER (ok) AS valid, count(*) FILTER (ok) / count(*)::DOUBLE AS validity, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (ok)), ','), '') AS cited FROM (SELECT an.*, EXISTS (SELECT 1
+  FROM k WHERE k.question_id = an.question_id AND k.source = an.source AND k.page + 1 = an.p) AS ok FROM an) GROUP BY 1""")
 def citation_validate(spark, d):
     r = _answers(spark, d).select("question_id", T.citation_report("answer", "keys").alias("r"))
     return r.select("question_id", F.col("r.count").alias("n"), "r.valid", "r.validity", F.array_join("r.cited_sources", ",").alias("cited"))
@@ -443,14 +457,16 @@ _SAID = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'INSUFFICIENT_CONTEXT ' || text W
 _GAP = "(" + " OR ".join(f"contains(lower({{0}}), '{p}')" for p in T.REFUSALS) + ")"
 
 
-@query(f"WITH a AS (SELECT conv_id, turn, regexp_replace({_SAID}, '^\\s+|\\s+$', '', 'g') AS s FROM conversations) SELECT conv_id, turn, contains(upper(substr(s, 1, 40)), 'INSUFFICIENT_CONTEXT') AS sentinel, contains(lower(substr(s, 1, 40)), 'insufficient_context') OR ({_GAP.format('s')} AND length(s) < 100) OR {_GAP.format('substr(s, 1, 30)')} AS refused, NOT contains(lower(substr(s, 1, 40)), 'insufficient_context') AND NOT ({_GAP.format('s')} AND length(s) < 100) AND {_GAP.format('s')} AS partial_gap FROM a")
+@query(f"""WITH a AS (SELECT conv_id, turn, regexp_replace({_SAID}, '^\\s+|\\s+$', '', 'g') AS s FROM conversations)
+SELECT conv_id, turn, contains(upper(substr(s, 1, 40)), 'INSUFFICIENT_CONTEXT') AS sentinel, contains(lower(substr(s, 1, 40)), 'insufficient_context') OR ({_GAP.format('s')} AND length(s) < 100) OR {_GAP.format('substr(s, 1, 30)')} AS refused, NOT contains(lower(substr(s, 1, 40)), 'insufficient_context') AND NOT ({_GAP.format('s')} AND length(s) < 100) AND {_GAP.format('s')} AS partial_gap FROM a""")
 def refusal_state(spark, d):
     said = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_SAID).alias("answer"))
     s = T.refusal_state("answer")
     return said.select("conv_id", "turn", T.is_refusal("answer").alias("sentinel"), s["refused"].alias("refused"), s["partial_gap"].alias("partial_gap"))
 
 
-@query("WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'yes | ' || text WHEN 1 THEN '是，' || text WHEN 2 THEN '否|no' ELSE '' END AS s FROM conversations) SELECT conv_id, turn, turn % 4 < 2 AS verdict, CASE turn % 4 WHEN 0 THEN substr(regexp_replace(split_part(s, '|', 2) || CASE WHEN strpos(substr(s, strpos(s, '|') + 1), '|') > 0 THEN substr(substr(s, strpos(s, '|') + 1), strpos(substr(s, strpos(s, '|') + 1), '|')) ELSE '' END, '^\\s+|\\s+$', '', 'g'), 1, 40) WHEN 1 THEN CASE WHEN contains(s, '|') THEN substr(regexp_replace(substr(s, strpos(s, '|') + 1), '^\\s+|\\s+$', '', 'g'), 1, 40) ELSE substr(regexp_replace(regexp_replace(substr(regexp_replace(s, '\\s+$', ''), 2), '^[：:，, ]+', ''), '^\\s+|\\s+$', '', 'g'), 1, 40) END WHEN 2 THEN 'no' ELSE '(empty reply)' END AS reason FROM a")
+@query("""WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'yes | ' || text WHEN 1 THEN '是，' || text WHEN 2 THEN '否|no' ELSE '' END AS s FROM conversations)
+SELECT conv_id, turn, turn % 4 < 2 AS verdict, CASE turn % 4 WHEN 0 THEN substr(regexp_replace(split_part(s, '|', 2) || CASE WHEN strpos(substr(s, strpos(s, '|') + 1), '|') > 0 THEN substr(substr(s, strpos(s, '|') + 1), strpos(substr(s, strpos(s, '|') + 1), '|')) ELSE '' END, '^\\s+|\\s+$', '', 'g'), 1, 40) WHEN 1 THEN CASE WHEN contains(s, '|') THEN substr(regexp_replace(substr(s, strpos(s, '|') + 1), '^\\s+|\\s+$', '', 'g'), 1, 40) ELSE substr(regexp_replace(regexp_replace(substr(regexp_replace(s, '\\s+$', ''), 2), '^[：:，, ]+', ''), '^\\s+|\\s+$', '', 'g'), 1, 40) END WHEN 2 THEN 'no' ELSE '(empty reply)' END AS reason FROM a""")
 def verdict_parse(spark, d):
     said = table(spark, d, "conversations").select("conv_id", "turn", F.expr("CASE turn % 4 WHEN 0 THEN 'yes | ' || text WHEN 1 THEN '是，' || text WHEN 2 THEN '否|no' ELSE '' END").alias("s"))
     v = T.verdict("s")
@@ -460,7 +476,9 @@ def verdict_parse(spark, d):
 _SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace({}, '\\[[^\\]]*\\]', '', 'g'), '[.!?]\\s+'), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query(f"WITH c AS (SELECT item_id, item_id % 4 = 3 AS failed, {_SENTENCES.format('substr(text, 1, 2000)')} AS cs, substr(text, 1, 150) AS context FROM benchmark), n AS (SELECT item_id, failed, CASE WHEN failed THEN 0 ELSE len(cs) END AS total, CASE WHEN failed THEN 0 ELSE len(list_filter(cs, lambda x: contains(context, x))) END AS supported FROM c) SELECT item_id, total, supported, CASE WHEN total > 0 THEN supported / total::DOUBLE END AS score, failed AS parse_failed FROM n")
+@query(f"""WITH c AS (SELECT item_id, item_id % 4 = 3 AS failed, {_SENTENCES.format('substr(text, 1, 2000)')} AS cs, substr(text, 1, 150) AS context FROM benchmark),
+n AS (SELECT item_id, failed, CASE WHEN failed THEN 0 ELSE len(cs) END AS total, CASE WHEN failed THEN 0 ELSE len(list_filter(cs, lambda x: contains(context, x))) END AS supported FROM c)
+SELECT item_id, total, supported, CASE WHEN total > 0 THEN supported / total::DOUBLE END AS score, failed AS parse_failed FROM n""")
 def claims_score(spark, d):
     """The text's sentences as claims against its first 150 characters; every fourth reply is broken off."""
     reply = F.when(F.col("item_id") % 4 == 3, "So: {\"claims\": [").otherwise(F.concat(F.lit("So: "), answer.lexical_claims(F.substring("text", 1, 2000), F.substring("text", 1, 150)), F.lit(" done")))
@@ -486,13 +504,15 @@ i2 AS (SELECT *, CASE WHEN question = '' THEN '' WHEN context IS NULL OR length(
 inv AS (SELECT *, CASE WHEN question = '' THEN 'no_question' WHEN context IS NULL THEN 'no_documents' WHEN contains(upper(substr(raw, 1, 40)), 'INSUFFICIENT_CONTEXT') THEN 'refused' ELSE 'answered' END AS branch FROM i2)"""
 
 
-@query(f"WITH {CORPUS}, {HYBRID}, {INVOKED} SELECT question_id, branch, CASE branch WHEN 'no_question' THEN '{answer.NO_QUESTION}' WHEN 'answered' THEN raw ELSE '{answer.REFUSED}' END AS answer, branch <> 'answered' AS refused, (branch = 'answered')::BIGINT AS n, (branch = 'answered')::BIGINT AS valid, CASE WHEN branch = 'answered' THEN src ELSE '' END AS cited, 'v1-cite' AS version FROM inv")
+@query(f"""WITH {CORPUS}, {HYBRID}, {INVOKED}
+SELECT question_id, branch, CASE branch WHEN 'no_question' THEN '{answer.NO_QUESTION}' WHEN 'answered' THEN raw ELSE '{answer.REFUSED}' END AS answer, branch <> 'answered' AS refused, (branch = 'answered')::BIGINT AS n, (branch = 'answered')::BIGINT AS valid, CASE WHEN branch = 'answered' THEN src ELSE '' END AS cited, 'v1-cite' AS version FROM inv""")
 def invoke_branches(spark, d):
     c = F.col("citations")
     return _invoked(spark, d).select("question_id", "branch", "answer", "refused", c["count"].alias("n"), c["valid"].alias("valid"), F.array_join(c["cited_sources"], ",").alias("cited"), F.col("prompt_version").alias("version"))
 
 
-@query(f"WITH {CORPUS}, {HYBRID}, {INVOKED} SELECT question_id, CASE WHEN question = '' THEN 'no_question' WHEN context IS NULL THEN 'no_documents' ELSE 'no_model' END AS branch, CASE WHEN question = '' THEN '{answer.NO_QUESTION}' WHEN context IS NULL THEN '{answer.REFUSED}' ELSE '{answer.NO_MODEL.strip()}' || chr(10) || chr(10) || context END AS answer FROM inv")
+@query(f"""WITH {CORPUS}, {HYBRID}, {INVOKED}
+SELECT question_id, CASE WHEN question = '' THEN 'no_question' WHEN context IS NULL THEN 'no_documents' ELSE 'no_model' END AS branch, CASE WHEN question = '' THEN '{answer.NO_QUESTION}' WHEN context IS NULL THEN '{answer.REFUSED}' ELSE '{answer.NO_MODEL.strip()}' || chr(10) || chr(10) || context END AS answer FROM inv""")
 def invoke_without_model(spark, d):
     return _invoked(spark, d, None).select("question_id", "branch", "answer")
 
@@ -549,7 +569,7 @@ def judge_relevance(spark, d):
     return judged.select("question_id", "doc_idx", "verdict", "reason", "miss")
 
 
-@query("SELECT item_id AS question_id, substr(sha1('v2' || chr(0) || text), 1, 20) AS key, CASE WHEN item_id % 3 = 0 THEN 'seen' END AS value, item_id % 3 <> 0 AS miss FROM benchmark")
+@query("""SELECT item_id AS question_id, substr(sha1('v2' || chr(0) || text), 1, 20) AS key, CASE WHEN item_id % 3 = 0 THEN 'seen' END AS value, item_id % 3 <> 0 AS miss FROM benchmark""")
 def judge_cache_probe(spark, d):
     key = T.cache_key(F.lit("v2"), "question")
     asked = _asked(spark, d).select("question_id", key.alias("key"))
@@ -579,7 +599,10 @@ def tokenize(spark, d):
 _MIXED = "CASE WHEN conv_id % 2 = 0 THEN '资料中没有spark' || turn || '，中 文' ELSE text END"
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, unnest({TOK.format(_MIXED)}) AS w FROM conversations), r AS (SELECT conv_id, turn, unnest(regexp_extract_all(w, '[\\x{{4e00}}-\\x{{9fff}}]+|[^\\x{{4e00}}-\\x{{9fff}}]+')) AS r FROM t), g AS (SELECT conv_id, turn, unnest(CASE WHEN regexp_matches(r, '^[\\x{{4e00}}-\\x{{9fff}}]') AND length(r) > 1 THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END) AS term FROM r) SELECT conv_id, turn, term, count(*) AS n FROM g GROUP BY ALL")
+@query(f"""WITH t AS (SELECT conv_id, turn, unnest({TOK.format(_MIXED)}) AS w FROM conversations),
+r AS (SELECT conv_id, turn, unnest(regexp_extract_all(w, '[\\x{{4e00}}-\\x{{9fff}}]+|[^\\x{{4e00}}-\\x{{9fff}}]+')) AS r FROM t),
+g AS (SELECT conv_id, turn, unnest(CASE WHEN regexp_matches(r, '^[\\x{{4e00}}-\\x{{9fff}}]') AND length(r) > 1 THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END) AS term FROM r)
+SELECT conv_id, turn, term, count(*) AS n FROM g GROUP BY ALL""")
 def cjk_tokens(spark, d):
     """Runs of CJK signs are overlapping pairs; the tables hold none, so half the texts are replaced."""
     text = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("资料中没有spark"), F.col("turn").cast("string"), F.lit("，中 文"))).otherwise(F.col("text"))
@@ -587,12 +610,14 @@ def cjk_tokens(spark, d):
     return said.select("conv_id", "turn", F.explode(T.tokens("t")).alias("term")).groupBy("conv_id", "turn", "term").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CORPUS}, {HYBRID} SELECT question_id, rank, source, (page + 1)::VARCHAR AS page, page_content AS text, score, 'rrf' AS score_kind, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM fur JOIN corpus USING (doc_idx) WHERE rank <= 4")
+@query(f"""WITH {CORPUS}, {HYBRID}
+SELECT question_id, rank, source, (page + 1)::VARCHAR AS page, page_content AS text, score, 'rrf' AS score_kind, vector_rank::DOUBLE AS vector_rank, bm25_rank::DOUBLE AS bm25_rank FROM fur JOIN corpus USING (doc_idx) WHERE rank <= 4""")
 def api_result_rows(spark, d):
     return _plain(api_rows(_hybrid(spark, d), _index(spark, d).rows))
 
 
-@query(f"WITH {CORPUS}, {HYBRID}, h AS (SELECT question_id, list({{'rank': rank, 'source': source, 'page': (page + 1)::VARCHAR, 'text': page_content}} ORDER BY rank) AS results FROM fur JOIN corpus USING (doc_idx) WHERE rank <= 4 GROUP BY 1) SELECT item_id AS question_id, to_json({{'query': text, 'mode': 'hybrid', 'score_kind': 'rrf', 'results': results}})::VARCHAR AS body FROM benchmark JOIN h ON question_id = item_id")
+@query(f"""WITH {CORPUS}, {HYBRID}, h AS (SELECT question_id, list({{'rank': rank, 'source': source, 'page': (page + 1)::VARCHAR, 'text': page_content}} ORDER BY rank) AS results FROM fur JOIN corpus USING (doc_idx) WHERE rank <= 4 GROUP BY 1)
+SELECT item_id AS question_id, to_json({{'query': text, 'mode': 'hybrid', 'score_kind': 'rrf', 'results': results}})::VARCHAR AS body FROM benchmark JOIN h ON question_id = item_id""")
 def search_reply_json(spark, d):
     return search_json(_asked(spark, d), api_rows(_hybrid(spark, d), _index(spark, d).rows), "hybrid")
 
@@ -616,12 +641,15 @@ def question_choice(spark, d):
     return evaluate.chosen(_typed(spark, d), "no_answer", 5).select("question_id", "type")
 
 
-@query(f"WITH {HYBRID}, {KEYED}, {PER}, r AS (SELECT question_id, CASE WHEN status = 'MISS' THEN 'miss' WHEN status = 'INVALID' THEN 'invalid' WHEN type = 'multi_hop' AND status <> 'HOP_ALL' THEN 'partial_hop' END AS report, missing, top1_source FROM st2) SELECT report, question_id, CASE WHEN report = 'partial_hop' THEN array_to_string(missing, ',') ELSE coalesce(top1_source, '') END AS detail FROM r WHERE report IS NOT NULL")
+@query(f"""WITH {HYBRID}, {KEYED}, {PER}, r AS (SELECT question_id, CASE WHEN status = 'MISS' THEN 'miss' WHEN status = 'INVALID' THEN 'invalid' WHEN type = 'multi_hop' AND status <> 'HOP_ALL' THEN 'partial_hop' END AS report, missing, top1_source FROM st2)
+SELECT report, question_id, CASE WHEN report = 'partial_hop' THEN array_to_string(missing, ',') ELSE coalesce(top1_source, '') END AS detail FROM r WHERE report IS NOT NULL""")
 def evaluation_reports(spark, d):
     return evaluate.reports(_rows(spark, d))
 
 
-@query(f"WITH {KEYED}, bh AS (SELECT item_id AS question_id, source, count(*) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 60))) WHERE NOT contains(d.text, '....') AND length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) >= 150 GROUP BY ALL) SELECT question_id, source, n, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, source) AS r FROM bh) WHERE r <= 3")
+@query(f"""WITH {KEYED}, bh AS (SELECT item_id AS question_id, source, count(*) AS n
+  FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 60))) WHERE NOT contains(d.text, '....') AND length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) >= 150 GROUP BY ALL)
+SELECT question_id, source, n, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, source) AS r FROM bh) WHERE r <= 3""")
 def body_hit_sources(spark, d):
     return evaluate.top_sources(_asked(spark, d), _docs(spark, d)).select("question_id", "source", "n", "rank")
 
@@ -641,7 +669,8 @@ def query_sample(spark, d):
     return sampled(table(spark, d, "embeddings").select("vec_id"), "vec_id")
 
 
-@query("WITH w AS (SELECT conv_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY turn), '^\\s+|\\s+$', '', 'g') AS t FROM conversations GROUP BY 1) SELECT conv_id::VARCHAR AS source, 1 AS page, t AS page_content FROM w WHERE t <> ''")
+@query("""WITH w AS (SELECT conv_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY turn), '^\\s+|\\s+$', '', 'g') AS t FROM conversations GROUP BY 1)
+SELECT conv_id::VARCHAR AS source, 1 AS page, t AS page_content FROM w WHERE t <> ''""")
 def whole_document_scan(spark, d):
     """Dialogues as files, turns as their pages."""
     return whole_documents(table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("page"), F.col("text").alias("page_content")))
@@ -653,12 +682,12 @@ def pdf_magic_filter(spark, d):
     return pdf_only(table(spark, d, "documents").select("doc_id", body.alias("content"))).select("doc_id")
 
 
-@query("SELECT count(DISTINCT source) AS files, count(*) AS pages, count(*) FILTER (regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '') AS empty_pages, sum(length(text))::BIGINT AS chars FROM documents")
+@query("""SELECT count(DISTINCT source) AS files, count(*) AS pages, count(*) FILTER (regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '') AS empty_pages, sum(length(text))::BIGINT AS chars FROM documents""")
 def loader_counters(spark, d):
     return load_counters(_docs(spark, d))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS source, CASE WHEN doc_id % 5 = 0 THEN 'over' ELSE lang END AS lang, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN doc_id % 5 = 0 AND FALSE THEN 1 ELSE 0 END AS n FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS source, CASE WHEN doc_id % 5 = 0 THEN 'over' ELSE lang END AS lang, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN doc_id % 5 = 0 AND FALSE THEN 1 ELSE 0 END AS n FROM documents""")
 def metadata_merge(spark, d):
     """Metadata as a map: a default for what is missing, and later entries over earlier ones."""
     base = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("source"), "source", F.lit("lang"), "lang")).otherwise(F.create_map(F.lit("lang"), "lang"))
@@ -666,7 +695,8 @@ def metadata_merge(spark, d):
     return table(spark, d, "documents").select("doc_id", T.entry(m, "source", "unknown").alias("source"), T.entry(m, "lang", "?").alias("lang"), F.size(m).alias("n"))
 
 
-@query(f"WITH {CORPUS}, {HYBRID} SELECT question_id, string_agg({_PIECE.replace('Page: ', 'Chunk: ')}, chr(10) ORDER BY rank) AS context FROM fur JOIN corpus USING (doc_idx) WHERE rank <= 4 GROUP BY 1")
+@query(f"""WITH {CORPUS}, {HYBRID}
+SELECT question_id, string_agg({_PIECE.replace('Page: ', 'Chunk: ')}, chr(10) ORDER BY rank) AS context FROM fur JOIN corpus USING (doc_idx) WHERE rank <= 4 GROUP BY 1""")
 def legacy_context(spark, d):
     return answer.legacy_contexts(_hybrid(spark, d), _index(spark, d).rows.withColumn("chunk", F.col("page") + 1))
 
