@@ -40,12 +40,12 @@ _OPENED: dict[tuple[str, str, str], tuple[str, index.Index]] = {}
 
 
 def _index(spark, d, rebuild=False, **c) -> index.Index:
-    """The kept index of the documents of ``d``: built once, used by every query, built anew when the files change."""
+    """The kept index of the documents of ``d``: built once an application, used by every query, built anew when the files change."""
     config = EngineConfig(**c)
     docs = _docs(spark, d, pages=True)
     key, mark = (spark.sparkContext.applicationId, d, config.index), shared.fingerprint(table(spark, d, "documents"))
     if rebuild or _OPENED.get(key, ("",))[0] != mark:
-        path = f"{shared.shared_dir(spark)}/tessera-{hashlib.sha1(d.encode()).hexdigest()[:16]}-{config.index}"
+        path = f"{shared.shared_dir(spark)}/tessera-{key[0]}-{hashlib.sha1(d.encode()).hexdigest()[:16]}-{config.index}"
         if rebuild:
             shared.remove(spark, path)
         _OPENED[key] = mark, index.load_or_build(spark, docs, path, config, fingerprint=mark)
