@@ -13,9 +13,10 @@ a smaller id holds the same bytes anywhere.  Three steps find all of them exactl
    cost is logarithmic in the length); equal hashes are verified on the bytes.  Neighbours that
    share ``length`` bytes form a class, whose smallest document keeps its window.
 
-Of what is the same, byte for byte, only one row of each batch goes on (the smallest document's; the
+Of what is the same, byte for byte, in a block of rows only the smallest document's goes on (the
 others repeat it), so copies are settled where they lie.  Anchors that many rows still share are
-dealt out window by window, so no task gathers one.
+dealt out window by window, so no task gathers one; their settled windows go on as whole spans, so
+the rows stay in proportion to the input however many anchors grow hot with it.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ SORT_BYTES = 1 << 19
 SLICE = 1 << 16
 #: Anchors are counted in so many buckets; one with more rows than HOT_ROWS and four times the mean is dealt by window.
 BUCKETS, HOT_ROWS = 1 << 20, 2048
+#: On many partitions that bound is HOT_EACH rows for each, HOT_MOST at most, so that a hot window's copies still meet in a block.
+HOT_EACH, HOT_MOST = 16, 1 << 14
+#: Anchors are packed, and bytes of contexts compared, so many at a time.
+ANCHORS, BLOCK_BYTES = 1 << 19, 1 << 22
+#: A part of the packed anchors holds those of so many windows.
+PART_WINDOWS = 1 << 23
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -92,15 +99,20 @@ def chunk_bounds(data: np.ndarray, length: int = LENGTH, mean: int = CHUNK) -> n
 
 
 def smallest_in(h: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` hashes the position of the smallest one, the leftmost if several."""
-    n = len(h) - width + 1
-    value, at, span = h, np.arange(len(h)), 1
+    """For each run of ``width`` hashes the position of the smallest one, the leftmost if several.
+
+    Hashes are compared without the low bits, in which their positions are kept; how many these are
+    depends on ``width`` only, so equal runs select alike wherever they stand.
+    """
+    bits = np.uint64((2 * SLICE + width).bit_length())
+    if len(h) >> int(bits):
+        raise ValueError("more hashes than a slice has")
+    low, span = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64), 1
     while span < width:
         step = min(span, width - span)
-        take = value[step:] < value[:-step]
-        value, at = np.where(take, value[step:], value[:-step]), np.where(take, at[step:], at[:-step])
+        low = np.minimum(low[step:], low[:-step])
         span += step
-    return at[:n]
+    return (low & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
 
 
 def anchors(data: np.ndarray, skip: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,24 +146,37 @@ class Extensions:
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length, self.prefix = data, length, prefix_hashes(data)
         self.powers = _powers(len(data), int(BASE))
+        self.head = np.zeros(len(data), np.uint64)  # a suffix's first bytes, the first one highest
+        for k in range(min(8, length)):
+            self.head <<= np.uint64(8)
+            self.head[: max(0, len(data) - k)] |= data[k:]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes, at most ``length``, that the suffixes at ``a`` and ``b`` share."""
         a, b = np.minimum(a, b), np.maximum(a, b)
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
+        out = np.full(len(a), self.length)
         shift, pa_, pb = self.powers[b - a], self.prefix[a], self.prefix[b]
+        part = np.flatnonzero((self.prefix[a + self.length] - pa_) * shift != self.prefix[b + self.length] - pb)
+        if not len(part):
+            return out
+        a, b, shift, pa_, pb = a[part], b[part], shift[part], pa_[part], pb[part]
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1)
         for _ in range(self.length.bit_length()):
             mid = (low + high + 1) >> 1
             same = (self.prefix[a + mid] - pa_) * shift == self.prefix[b + mid] - pb
             low, high = np.where(same, mid, low), np.where(same, high, np.maximum(low, mid - 1))
-        return low
+        out[part] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the suffix at ``a`` comes before that at ``b``; equal ones by position."""
+        x, y = self.head[a], self.head[b]
+        out, tie = x < y, np.flatnonzero(x == y)
+        a, b = a[tie], b[tie]
         n = self.common(a, b)
-        full = n >= self.length
         at = np.minimum(n, self.length - 1)
-        return np.where(full, a < b, self.data[a + at] < self.data[b + at])
+        out[tie] = np.where(n >= self.length, a < b, self.data[a + at] < self.data[b + at])
+        return out
 
 
 def suffix_sort(ext: Extensions, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -187,15 +212,44 @@ def suffix_sort(ext: Extensions, starts: np.ndarray, group: np.ndarray) -> np.nd
     return order
 
 
-def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the windows at ``a`` and ``b`` hold the same bytes."""
-    out, span = np.empty(len(a), bool), np.arange(length)
-    for i in range(0, len(a), 1 << 14):
-        x, y = a[i : i + (1 << 14), None] + span, b[i : i + (1 << 14), None] + span
-        out[i : i + (1 << 14)] = (data[x] == data[y]).all(axis=1)
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Whether the ``size`` bytes at ``a`` and ``b`` are the same."""
+    size = np.broadcast_to(size, len(a))
+    out, span = np.empty(len(a), bool), np.arange(int(size.max(initial=0)))
+    step = max(1, (1 << 20) // max(1, len(span)))
+    for i in range(0, len(a), step):
+        x, y, over = a[i : i + step, None] + span, b[i : i + step, None] + span, span >= size[i : i + step, None]
+        same = data.take(x, mode="clip") == data.take(y, mode="clip")
+        out[i : i + step] = (same | over).all(axis=1)
     return out
 
 
+def run_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Hash of the ``size`` bytes at each of ``at``; the same wherever the bytes stand."""
+    p = prefix_hashes(data)
+    return _mixed((p[at + size] - p[at]) * _powers(len(data) + 1, int(INVERSE))[at])
+
+
+def leads(data: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each run the first one of the smallest ``doc`` with the same bytes.
+
+    ``h`` chooses the candidates, the bytes decide: where they differ a run stands for itself.
+    """
+    by = np.lexsort((doc, size, h))
+    new = np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (size[by][1:] != size[by][:-1])))[: len(by)]
+    lead = np.empty(len(by), np.int64)
+    lead[by] = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    check = np.flatnonzero(lead != np.arange(len(by)))
+    wrong = check[~_equal(data, at[check], at[lead[check]], size[check])]
+    lead[wrong] = wrong
+    return lead
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``begin[i]``, ``begin[i]`` + 1, ... (``size[i]`` numbers) for each i in turn."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows at ``starts`` equal, within their group, a window of a smaller ``doc``.
 
@@ -208,11 +262,12 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, doc: np.nd
         return out
     ext = Extensions(data, length)
     h = (ext.prefix[starts + length] - ext.prefix[starts]) * _powers(len(data), int(INVERSE))[starts]
-    by = np.lexsort((doc, h, group))
-    first = np.flatnonzero(np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (group[by][1:] != group[by][:-1]))))
-    size = np.diff(np.append(first, len(by)))
+    h += group.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    by = np.argsort(h)
+    first = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+    several = np.maximum.reduceat(doc[by], first) > np.minimum.reduceat(doc[by], first)
     some = np.zeros(len(starts), bool)
-    some[by] = np.repeat(doc[by[first + size - 1]] > doc[by[first]], size)
+    some[by] = np.repeat(several, np.diff(np.append(first, len(by))))
     some = np.flatnonzero(some)
     if not len(some):
         return out
@@ -241,6 +296,20 @@ def _bytes(cell) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), np.uint8) if cell.is_valid and len(cell.as_buffer()) else np.empty(0, np.uint8)
 
 
+def _flat(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where in them each cell begins; the last number is where they end."""
+    wide = cells.cast(pa.large_binary())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    raw = wide.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8), at
+
+
+def _cells(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The ``size`` bytes at each of ``at`` as a binary column."""
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[_spread(at, size)])])
+
+
 def _runs(cell) -> np.ndarray:
     """A packed int32 pair list as rows (from, to)."""
     return np.frombuffer(cell.as_buffer(), np.int32).reshape(-1, 2).astype(np.int64) if cell.is_valid else np.empty((0, 2), np.int64)
@@ -338,119 +407,145 @@ def _bits(length: int, gram: int) -> int:
     return (length - gram + 1).bit_length()
 
 
-def _anchors(length: int, gram: int):
-    """Rows (rid, text, dups) to (key, rid, run, h): a row for each anchor run, ``run`` its first window and their number, packed.
+def _anchors(length: int, gram: int, parts: int):
+    """Rows (rid, text, dups) to (part, packed): anchor runs (h, rid, run), ``run`` its first window and their number, packed.
 
-    ``h`` is set for runs whose anchor another row of the same batch holds: those are known to be
-    shared.  Of each such anchor only two rows' runs go on under the anchor's own key (``h`` null), so
-    an anchor that a third of the documents share isn't gathered in one task.
+    A row holds the runs of a block of texts whose anchors fall into one of ``parts``.  Runs whose
+    anchor another row of the block holds are known to be shared: ``run`` is inverted, and they go to
+    any part.  Of each such anchor only two rows' runs go on under the anchor's own part, so an anchor
+    that a third of the documents share isn't gathered in one task.
     """
     bits = _bits(length, gram)
 
+    def packed(block: list[list[np.ndarray]]) -> pa.RecordBatch:
+        h, rid, run = (np.concatenate(x) for x in zip(*block, strict=True))
+        by = np.argsort(h, kind="stable")  # rows of one anchor keep their order, so equal rids are neighbours
+        h, rid, run = h[by], rid[by], run[by]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(h)))
+        nth = np.cumsum(new | np.concatenate(([True], rid[1:] != rid[:-1])))
+        nth -= np.repeat(nth[start] - 1, size)  # which row of its anchor, from 1
+        known = np.repeat(nth[start + size - 1] > 1, size)
+        at = np.flatnonzero(known)  # the first run of each of the first two rows isn't
+        known[at[(nth[at] <= 2) & ((nth[at] != nth[at - 1]) | new[at])]] = False
+        part = (np.where(known, _mixed((rid * 1_000_003 + run).view(np.uint64)), h.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        run = np.where(known, ~run, run)
+        by = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], part[by][1:] != part[by][:-1])))
+        rows = np.stack([h[by], rid[by], run[by]], axis=1)
+        raw = [rows[a:b].T.tobytes() for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(by)], strict=True)]
+        return _batch(["part", "packed"], part[by][edge], pa.array(raw, pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[list[np.ndarray]] = []
+        held = 0
         for batch in batches:
-            parts: list[list[np.ndarray]] = []
             for rid, cell, dup in zip(batch["rid"].to_pylist(), batch["text"], batch["dups"], strict=True):
                 data = _bytes(cell)
                 if len(data) < length:
                     continue
                 h, first, stop = anchors(data, _runs(dup).tolist(), length, gram)
-                parts.append([h.view(np.int64), np.full(len(h), rid), first << bits | stop - first])
-            if not parts:
-                continue
-            h, rid, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
-            by = np.argsort(h, kind="stable")  # rows of one anchor keep their order, so equal rids are neighbours
-            hs, rs = h[by], rid[by]
-            new = np.concatenate(([True], hs[1:] != hs[:-1]))[: len(hs)]
-            other = (np.concatenate(([True], rs[1:] != rs[:-1]))[: len(hs)]) | new
-            start = np.flatnonzero(new)
-            nth = np.cumsum(other)
-            nth -= np.repeat(nth[start] - 1, np.diff(np.append(start, len(hs))))  # which row of its anchor, from 1
-            many = np.repeat(np.maximum.reduceat(nth, start) > 1, np.diff(np.append(start, len(hs)))) if len(start) else new
-            known = np.empty(len(h), bool)
-            known[by] = many & ~(other & (nth <= 2))
-            key = np.where(known, rid * 1_000_003 + packed, h)
-            yield _batch(["key", "rid", "run", "h"], key, rid, packed, pa.array(h, pa.int64(), mask=~known))
+                if not len(h):
+                    continue
+                block.append([h.view(np.int64), np.full(len(h), rid), first << bits | stop - first])
+                held += len(h)
+                if held >= ANCHORS:
+                    yield packed(block)
+                    block, held = [], 0
+        if block:
+            yield packed(block)
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, rid) those whose anchor two rows hold; the first row's runs are held back until then."""
-    last, first_rid, shared = None, None, False
-    held: list[pa.RecordBatch] = []
+    """From rows sorted by part the runs whose anchor two rows hold."""
+
+    def of(block: list[np.ndarray]) -> pa.RecordBatch:
+        h, rid, run = np.concatenate(block, axis=1)
+        known = run < 0
+        own = np.flatnonzero(~known)
+        own = own[np.argsort(h[own])]
+        start = np.flatnonzero(np.concatenate(([True], h[own][1:] != h[own][:-1]))[: len(own)])
+        if len(own):
+            both = np.minimum.reduceat(rid[own], start) != np.maximum.reduceat(rid[own], start)
+            known[own] = np.repeat(both, np.diff(np.append(start, len(own))))
+        return _batch(["rid", "run", "h"], rid[known], np.where(run < 0, ~run, run)[known], h[known])
+
+    part, block = None, []
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        key, rid = batch["key"].to_numpy(), batch["rid"].to_numpy()
-        known = ~batch["h"].is_null().to_numpy(zero_copy_only=False)
-        rows = _batch(["rid", "run", "h"], batch["rid"], batch["run"], batch["h"].fill_null(0) if known.all() else pa.array(np.where(known, batch["h"].fill_null(0).to_numpy(), key)))
-        new = np.concatenate(([last is None or key[0] != last], key[1:] != key[:-1]))
-        start = np.flatnonzero(new)
-        lead = int(start[0]) if len(start) else n
-        take = known.copy()
-        if lead:  # rows that carry on the anchor of the batch before
-            if not shared and (rid[:lead] != first_rid).any():
-                shared = True
-                yield from held
-            held = [] if shared else [*held, rows.slice(0, lead)]
-            if shared:
-                take[:lead] = True
-        if len(start):
-            size = np.diff(np.append(start, n))
-            both = rid[start] != rid[start + size - 1]
-            take[lead:] |= np.repeat(both, size)
-            last, first_rid, shared = key[start[-1]], rid[start[-1]], bool(both[-1])
-            held = [] if shared else [rows.slice(int(start[-1]))]
-        yield rows.filter(pa.array(take))
+        for p, cell in zip(batch["part"].to_pylist(), batch["packed"], strict=True):
+            if p != part and block:
+                yield of(block)
+                block = []
+            part = p
+            block.append(np.frombuffer(cell.as_buffer(), np.int64).reshape(3, -1))
+    if block:
+        yield of(block)
 
 
 def _contexts(length: int, gram: int, hot):
     """Rows (doc, rid, text, wanted) to (h, doc, rid, from, to, bytes): the bytes of each wanted run of windows.
 
-    Runs that equal, byte for byte, one of a smaller document of the batch are known to repeat:
-    they have no bytes and any ``h``.  A run whose anchor is in the buckets ``hot`` (a broadcast) is
-    a row for each of its windows, and ``h`` is of the window.
+    Runs that equal, byte for byte, one of a smaller document of the block are known to repeat:
+    they have no bytes and any ``h``, and those that touch are one row.  A run whose anchor is in the
+    buckets ``hot`` (a broadcast) is a row for each of its other windows, and ``h`` is of the window.
     """
     bits = _bits(length, gram)
+    names = ["h", "doc", "rid", "from", "to", "bytes"]
+    piece = max(1, (1 << 20) // length)  # runs at once, so that what is copied is bounded
+
+    def block_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        data = np.concatenate([x[0] for x in held])
+        base = np.cumsum([0, *(len(x[0]) for x in held)])
+        at = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
+        key, h, doc, rid, first, n = (np.concatenate([x[k] for x in held]) for k in range(2, 8))
+        lead = leads(data, at, n + length - 1, h, doc)
+        known = doc > doc[lead]
+        i = np.flatnonzero(known)
+        i = i[np.lexsort((first[i], rid[i]))]
+        if len(i):
+            r, a, b = rid[i], first[i], first[i] + n[i]  # runs of a row don't overlap
+            new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (a[1:] != b[:-1]))))
+            stop = b[np.append(new[1:] - 1, len(i) - 1)]
+            any_ = (_mixed((r[new] * 1_000_003 + a[new]).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            yield _batch(names, any_, doc[i][new], r[new], a[new].astype(np.int32), stop.astype(np.int32), pa.nulls(len(new), pa.binary()))
+        rest = np.flatnonzero(~known)
+        for k in range(0, len(rest), piece):
+            i = rest[k : k + piece]
+            yield _batch(names, key[i], doc[i], rid[i], first[i].astype(np.int32), (first[i] + n[i]).astype(np.int32), _cells(data, at[i], n[i] + length - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_hot = np.zeros(BUCKETS, bool)
         is_hot[hot.value] = True
-        some = bool(is_hot.any())
+        held: list[tuple] = []
+        total = 0
         for batch in batches:
-            h, docs, rids, at, stop, out = [], [], [], [], [], []
-            seen: dict[bytes, int] = {}
-
-            def add(key: int, doc: int, rid: int, first: int, n: int, text: bytes) -> None:
-                i = seen.setdefault(text, len(h))
-                h.append(key)
-                docs.append(doc)
-                rids.append(rid)
-                at.append(first)
-                stop.append(first + n)
-                out.append(text)
-                if i < len(h) - 1 and docs[i] != doc:
-                    if docs[i] > doc:
-                        seen[text] = len(h) - 1
-                    else:
-                        i = len(h) - 1
-                    out[i] = None
-                    h[i] = rids[i] * 1_000_003 + at[i] & LAST
-
-            for doc, rid, cell, want in zip(batch["doc"].to_pylist(), batch["rid"].to_pylist(), batch["text"], batch["wanted"], strict=True):
-                raw = memoryview(_bytes(cell))
-                runs, keys = (want.values.field(k).to_numpy() for k in ("run", "h"))
-                dealt = is_hot[keys & BUCKETS - 1].tolist() if some else [False] * len(keys)
-                for first, n, key, apart in zip((runs >> bits).tolist(), (runs & (1 << bits) - 1).tolist(), keys.tolist(), dealt, strict=True):
-                    if apart:
-                        for i in range(first, first + n):
-                            window = bytes(raw[i : i + length])
-                            add(xxhash.xxh3_64_intdigest(window) >> 1, doc, rid, i, 1, window)
-                    else:
-                        add(key, doc, rid, first, n, bytes(raw[first : first + n + length - 1]))
-            yield _batch(["h", "doc", "rid", "from", "to", "bytes"], pa.array(h, pa.int64()), pa.array(docs, pa.int64()), pa.array(rids, pa.int64()), pa.array(at, pa.int32()), pa.array(stop, pa.int32()), pa.array(out, pa.binary()))
+            texts, begin = _flat(batch["text"])
+            want, doc, rid = batch["wanted"], batch["doc"].to_numpy(), batch["rid"].to_numpy()
+            row = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy())
+            runs, keys = (want.flatten().field(k).to_numpy() for k in ("run", "h"))
+            for x in range(0, len(row), piece):
+                r, key, run_ = row[x : x + piece], keys[x : x + piece], runs[x : x + piece]
+                first, n = run_ >> bits, run_ & (1 << bits) - 1
+                size = n + length - 1
+                data = texts[_spread(begin[r] + first, size)]
+                at = np.cumsum(size) - size
+                apart = is_hot[key & BUCKETS - 1]
+                each = np.where(apart, n, 1)
+                i = np.repeat(np.arange(len(r)), each)
+                shift = _spread(np.zeros(len(each), np.int64), each)
+                at, n, first = at[i] + shift, np.where(apart, 1, n)[i], first[i] + shift
+                h = run_hashes(data, at, n + length - 1)
+                key = np.where(apart[i], (h >> np.uint64(1)).view(np.int64), key[i])
+                held.append((data, at, key, h, doc[r][i], rid[r][i], first, n))
+                total += int((n + length - 1).sum())
+                if total >= BLOCK_BYTES:
+                    yield from block_of(held)
+                    held, total = [], 0
+        if held:
+            yield from block_of(held)
 
     return run
 
@@ -463,60 +558,67 @@ def _sorted_hits(length: int):
     are suffix-sorted.
     """
 
-    def hits(rows: list[tuple]) -> Iterator[tuple[list, list, list]]:
-        lead: dict[bytes, int] = {}
-        same = [lead.setdefault(r[5], i) for i, r in enumerate(rows)]
-        whole = [r for r, i in zip(rows, same, strict=True) if r[1] > rows[i][1]]
-        if whole:
-            yield [r[2] for r in whole], [r[3] for r in whole], [r[4] for r in whole]
-        own = [i for i in range(len(rows)) if same[i] == i]
-        h = np.array([rows[i][0] for i in own])
-        edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(edge, len(h)))
-        several = np.flatnonzero(np.repeat(size > 1, size)).tolist()
-        if not several:
+    def of(rid: np.ndarray, first: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+        return _batch(["rid", "from", "to"], rid, first.astype(np.int32), stop.astype(np.int32))
+
+    def hits(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, doc, rid, first, stop = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("h", "doc", "rid", "from", "to"))
+        parts = [_flat(x["bytes"]) for x in held]
+        data = np.concatenate([*(x[at[0] : at[-1]] for x, at in parts), np.zeros(length, np.uint8)])
+        first, stop = first.astype(np.int64), stop.astype(np.int64)
+        size = stop - first + length - 1
+        at = np.cumsum(size) - size
+        lead = leads(data, at, size, run_hashes(data, at, size), doc)
+        whole = doc > doc[lead]
+        if whole.any():
+            yield of(rid[whole], first[whole], stop[whole])
+        own = np.flatnonzero(lead == np.arange(len(lead)))
+        edge = np.flatnonzero(np.concatenate(([True], h[own][1:] != h[own][:-1])))
+        group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(own))))
+        several = np.bincount(group)[group] > 1
+        own, group = own[several], group[several]
+        if not len(own):
             return
-        own = [own[k] for k in several]
-        texts = [rows[i][5] for i in own]
-        per = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
-        begin = np.cumsum(per + length - 1) - (per + length - 1)
+        per = stop[own] - first[own]
         row = np.repeat(np.arange(len(own)), per)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-        h, doc, first = (np.array([rows[i][k] for i in own], np.int64) for k in (0, 1, 3))
-        group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
-        hit = repeated(np.frombuffer(b"".join(texts) + bytes(length), np.uint8), begin[row] + shift, group[row], doc[row], length)
-        i = np.flatnonzero(hit)
+        shift = _spread(np.zeros(len(own), np.int64), per)
+        i = np.flatnonzero(repeated(data, at[own][row] + shift, group[row], doc[own][row], length))
         if not len(i):
             return
         new = np.concatenate(([True], (row[i][1:] != row[i][:-1]) | (shift[i][1:] != shift[i][:-1] + 1)))
         a, b = i[new], i[np.append(np.flatnonzero(new)[1:] - 1, len(i) - 1)]
-        place = {x: k for k, x in enumerate(own)}
-        yield [rows[own[k]][2] for k in row[a].tolist()], (first[row[a]] + shift[a]).tolist(), (first[row[b]] + shift[b] + 1).tolist()
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for k, x, y in zip(row[a].tolist(), shift[a].tolist(), (shift[b] + 1).tolist(), strict=True):
-            spans.setdefault(k, []).append((x, y))
-        alike = [(r[2], r[3] + x, r[3] + y) for n, r in enumerate(rows) if same[n] != n and r[1] == rows[same[n]][1] for x, y in spans.get(place.get(same[n], -1), ())]
-        if alike:
-            yield tuple(map(list, zip(*alike, strict=True)))
-
-    def batch_of(columns) -> pa.RecordBatch:
-        return _batch(["rid", "from", "to"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)])
+        k, x, y = own[row[a]], shift[a], shift[b] + 1
+        yield of(rid[k], first[k] + x, first[k] + y)
+        alike = np.flatnonzero((lead != np.arange(len(lead))) & ~whole)  # k ascends, so a lead's spans are neighbours
+        low, high = np.searchsorted(k, lead[alike], "left"), np.searchsorted(k, lead[alike], "right")
+        to, j = np.repeat(alike, high - low), _spread(low, high - low)
+        if len(to):
+            yield of(rid[to], first[to] + x[j], first[to] + y[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        total = 0
+        held: list[pa.RecordBatch] = []
+        total, last = 0, None
         for batch in batches:
             known = batch.filter(batch["bytes"].is_null())
-            yield _batch(["rid", "from", "to"], known["rid"], known["from"], known["to"])
-            rest = batch.filter(batch["bytes"].is_valid())
-            for r in zip(*(rest[c].to_pylist() for c in ("h", "doc", "rid", "from", "to", "bytes")), strict=True):
-                if total > SORT_BYTES and held[-1][0] != r[0]:
-                    yield from map(batch_of, hits(held))
-                    held, total = [], 0
-                held.append(r)
-                total += len(r[5])
+            if known.num_rows:
+                yield _batch(["rid", "from", "to"], known["rid"], known["from"], known["to"])
+            batch = batch.filter(batch["bytes"].is_valid())
+            if not batch.num_rows:
+                continue
+            h = batch["h"].to_numpy()
+            size = np.cumsum(batch["to"].to_numpy().astype(np.int64) - batch["from"].to_numpy() + length - 1)
+            begin = 0
+            edges = [] if total + int(size[-1]) <= SORT_BYTES else np.flatnonzero(np.concatenate(([h[0] != last], h[1:] != h[:-1]))).tolist()
+            for e in edges:
+                if total + int(size[e - 1] if e else 0) - int(size[begin - 1] if begin else 0) > SORT_BYTES:
+                    held.append(batch.slice(begin, e - begin))
+                    yield from hits(held)
+                    held, total, begin = [], 0, e
+            held.append(batch.slice(begin))
+            total += int(size[-1]) - int(size[begin - 1] if begin else 0)
+            last = h[-1]
         if held:
-            yield from map(batch_of, hits(held))
+            yield from hits(held)
 
     return run
 
@@ -542,7 +644,7 @@ def _removed(length: int, as_text: bool):
     return run
 
 
-def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, hot_rows: int = HOT_ROWS, digest=xxhash.xxh3_128_digest, as_text: bool = False) -> DataFrame:
+def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, hot_rows: int | None = None, digest=xxhash.xxh3_128_digest, as_text: bool = False) -> DataFrame:
     """Remove from each text the bytes that ``length``-byte strings of earlier documents cover.
 
     Texts are UTF-8 bytes; matches don't cross documents; strings are judged on the input.  Returns
@@ -579,11 +681,14 @@ def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     same = texts.join(same.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "same").mapInArrow(lean(_chunk_bytes(length)), "h1 long, h2 long, doc long, rid long, from int, to int, bytes binary")
     same = same.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(lean(_verified), "rid long, from int, to int")
     dups = scratch.table(_packed(chunks.where("h1 is null").select("rid", "from", "to").unionByName(same), "dups"), "dups")
+    windows = chunks.agg(F.sum(F.col("to").cast("long") - F.col("from"))).first()[0] or 0
     scratch.drop("chunks")
 
     with_dups = texts.join(dups.hint("shuffle_hash"), "rid", "left")
-    runs = with_dups.select("rid", "text", "dups").mapInArrow(lean(_anchors(length, gram)), "key long, rid long, run long, h long")
-    shared = runs.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(lean(_shared), "rid long, run long, h long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = n * (windows // (n * PART_WINDOWS) + 1)
+    runs = with_dups.select("rid", "text", "dups").mapInArrow(lean(_anchors(length, gram, parts)), "part long, packed binary")
+    shared = runs.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(lean(_shared), "rid long, run long, h long")
     wanted = scratch.table(shared.groupBy("rid").agg(F.collect_list(F.struct("run", "h")).alias("wanted")), "wanted")
 
     contexts = texts.join(wanted.hint("shuffle_hash"), "rid").select("doc", "rid", "text", "wanted").mapInArrow(lean(_contexts(length, gram, _hot(spark, wanted, hot_rows))), "h long, doc long, rid long, from int, to int, bytes binary")
@@ -597,10 +702,12 @@ def dedup_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     return _finish(done, keep, length, as_text)
 
 
-def _hot(spark: SparkSession, wanted: DataFrame, least: int):
+def _hot(spark: SparkSession, wanted: DataFrame, least: int | None = None):
     """The buckets of anchors with more rows than ``least`` and than four times the mean: at most a quarter of BUCKETS numbers."""
     total = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     counts = wanted.select(F.explode("wanted.h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+    if least is None:
+        least = max(HOT_ROWS, min(HOT_MOST, HOT_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     hot = counts.where(F.col("count") > max(least, 4 * total // BUCKETS)).select("b").collect()
     return spark.sparkContext.broadcast(np.array([r.b for r in hot], np.int64))
 

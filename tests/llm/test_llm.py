@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import textwrap
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -298,6 +300,40 @@ def test_repeats_other_lengths_and_ids(spark):
     assert text[2] == "é" * 60 and text[5] == ""
 
 
+def test_repeats_in_small_blocks(spark, monkeypatch):
+    for name, n in (("ANCHORS", 300), ("BLOCK_BYTES", 5000), ("PART_WINDOWS", 4000), ("SORT_BYTES", 3000)):
+        monkeypatch.setattr(suffix, name, n)
+    monkeypatch.setattr(suffix, "BUCKETS", 1 << 12)
+    rows = repeat_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert digests(suffix.dedup_substrings(docs, hot_rows=20)) == brute_repeats(rows)
+
+
+def test_hot_windows_that_are_settled_go_on_as_spans():
+    r = random.Random(5)
+    some = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    passage, bits = some(150), suffix._bits(50, 20)
+    texts = [some(59) + bytes([d]) + passage + bytes([d]) + some(59) for d in range(200)]
+    wanted = []
+    for text in texts:
+        h, first, stop = suffix.anchors(np.frombuffer(text, np.uint8), [])
+        wanted.append([{"run": int(a) << bits | int(b - a), "h": int(x)} for x, a, b in zip(h.view(np.int64), first, stop, strict=True)])
+    batch = pa.RecordBatch.from_pydict({"doc": range(200), "rid": range(200), "text": pa.array(texts, pa.binary()), "wanted": pa.array(wanted, pa.list_(pa.struct([("run", pa.int64()), ("h", pa.int64())])))})
+    hot = SimpleNamespace(value=np.arange(suffix.BUCKETS))
+    rows = [x for out in suffix._contexts(50, 20, hot)(iter([batch])) for x in out.to_pylist()]
+    # windows in the passage: of the first document a row each, of every other one row in all
+    known = [x for x in rows if x["bytes"] is None]
+    assert [(x["doc"], x["from"], x["to"]) for x in sorted(known, key=lambda x: x["doc"])] == [(d, 60, 161) for d in range(1, 200)]
+    assert len(rows) == len(known) + 101 + 200 * (60 + 60)
+    assert all(x["bytes"] == texts[x["rid"]][x["from"] : x["from"] + 50] for x in rows if x["bytes"])
+
+
+def test_leads_by_bytes():
+    data = np.frombuffer(b"abcabdabcabc", np.uint8)
+    at, size = np.array([0, 3, 6, 9, 6]), np.array([3, 3, 3, 3, 6])
+    assert suffix.leads(data, at, size, np.zeros(5, np.uint64), np.array([4, 5, 2, 4, 1])).tolist() == [2, 1, 2, 2, 4]
+
+
 def test_suffix_sort():
     data = np.frombuffer(b"banana bandana banana" + bytes(50), np.uint8)
     ext = suffix.Extensions(data, 50)
